@@ -63,14 +63,16 @@ def token_blocks(docs: DataFrame) -> DataFrame:
                 ids.append(0)
                 lens.append(len(toks) + 1)
             words = np.array([xxhash.xxh64_intdigest(w) for w in seen], "<u8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([rest["doc_id"]], pa.list_(kind)), pa.array([rest["fold"]], pa.list_(pa.int32())), pa.array([lens], pa.list_(pa.int64())),
-                 pa.array([squeeze(np.array(ids, "<u4"))]), pa.array([squeeze(words)])],
-                ["block", "doc_ids", "folds", "lens", "ids", "words"],
-            )
+            ids, lens, folds = np.array(ids, "<u4"), np.array(lens), np.array(rest["fold"])
+            rows = [(name, False, rest["doc_id"], rest["fold"], lens, squeeze(ids), squeeze(words))]
+            if (folds == EM_FOLD).any():  # the held-out texts once more by themselves, to be asked about and not counted
+                used, own = np.unique(np.concatenate(([0], ids[np.repeat(folds == EM_FOLD, lens)])), return_inverse=True)
+                rows.append((name + "#em", True, [], [], [], squeeze(own[1:].astype("<u4")), squeeze(words[used])))
+            kinds = [pa.string(), pa.bool_(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "em", "doc_ids", "folds", "lens", "ids", "words"])
 
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    return docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(run, f"block string, doc_ids array<{id_type}>, folds array<int>, lens array<bigint>, ids binary, words binary")
+    return docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(run, f"block string, em boolean, doc_ids array<{id_type}>, folds array<int>, lens array<bigint>, ids binary, words binary")
 
 
 def count_service(blocks: DataFrame, parts: int) -> DataFrame:
@@ -84,7 +86,7 @@ def count_service(blocks: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 words, ids, _, keys, at, (wo, wb), (po, pb) = _keys(row, parts)
-                folds = np.repeat(np.array(row["folds"]), np.array(row["lens"]))
+                folds = np.repeat(np.array(row["folds"], np.int64), np.array(row["lens"], np.int64)) if not row["em"] else np.full(len(ids), -1)
                 train, em = (folds >= 0) & (folds != TEST_FOLD), folds == EM_FOLD
                 cw = [np.bincount(ids[m], minlength=len(words)).astype("<u4")[wo] for m in (train, em)]
                 cp = [np.bincount(at[m], minlength=len(keys)).astype("<u4")[po] for m in (train, em)]
@@ -113,7 +115,7 @@ def count_service(blocks: DataFrame, parts: int) -> DataFrame:
         rest.iloc[-1] = totals
         return pd.DataFrame(out).join(rest)
 
-    asked = blocks.select("block", "folds", "lens", "ids", "words").mapInArrow(ask, "block string, part int, w binary, wc binary, k binary, kc binary")
+    asked = blocks.select("block", "em", "folds", "lens", "ids", "words").mapInArrow(ask, "block string, part int, w binary, wc binary, k binary, kc binary")
     return asked.groupBy("part").applyInPandas(answer, "block string, part int, w binary, k binary, known bigint, tokens bigint, em_tokens bigint")
 
 
@@ -176,15 +178,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
     blocks = materialise(token_blocks(docs), "lm-blocks")
     replies = materialise(count_service(blocks, parts), "lm-replies")
     known, tokens, em_tokens = (int(x or 0) for x in replies.where("block is null").agg(F.sum("known"), F.sum("tokens"), F.sum("em_tokens")).first())
-    answers = replies.where("block is not null").select("block", "part", "w", "k").groupBy("block")
+    answers = replies.where("block is not null").select("block", "part", "w", "k")
     floor = 1.0 / (known + 1)
 
     def held_out_grid(b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         cells = []
         for row in b.to_dict("records"):
             ids, before, at, w, k = _answered(row, r, parts)
-            mine = np.repeat(np.array(row["folds"]) == EM_FOLD, row["lens"])
-            ids, before, at = ids[mine], before[mine], at[mine]
             w, k = w[0] - w[1], k[0] - k[1]
             context = w[before]
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -193,9 +193,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
             cells.append(pd.DataFrame({"bucket": bucket(context), "q2": q2.astype(np.int64), "q1": q1.astype(np.int64)}))
         return pd.concat(cells).value_counts().rename("n").reset_index()
 
-    em_blocks = blocks.where(F.array_contains("folds", EM_FOLD))
     grid = (
-        em_blocks.select("block", "folds", "lens", "ids", "words").groupBy("block").cogroup(answers)
+        blocks.where("em").select("block", "ids", "words").groupBy("block").cogroup(answers.where("endswith(block, '#em')").groupBy("block"))
         .applyInPandas(lambda b, r: held_out_grid(b, r) if len(b) else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("bucket", "q2", "q1", "n")}), "bucket long, q2 long, q1 long, n long")
         .groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()  # cells of a grid of fixed size, not of the corpus
     )
@@ -219,7 +218,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             }))
         return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    return blocks.groupBy("block").cogroup(answers).applyInPandas(
+    return blocks.where("not em").drop("em").groupBy("block").cogroup(answers.where("not endswith(block, '#em')").groupBy("block")).applyInPandas(
         score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
