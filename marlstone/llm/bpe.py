@@ -139,10 +139,10 @@ class PrefixBpe:
 class Encoder:
     """Whole texts, as the tokenizers library encodes them with add_special_tokens=False.
 
-    A text is cut at white space first, which no token crosses, and what each
-    piece gives is held in a bounded cache.  Pieces of plain letters are
-    normalised and split here; others by the library's own normaliser and
-    splitter.  ``by_library`` takes the ids of a word from the library's model.
+    A text is cut at white space first, which no token crosses.  Pieces of plain
+    letters are normalised and split here; others by the library's own
+    normaliser and splitter.  ``by_library`` takes the ids of a word from the
+    library's model.
     """
 
     def __init__(self, path: str, by_library: bool = False):
@@ -151,50 +151,34 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
         self.model = self.lib.model
-        self.by_library = by_library
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.rule = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        letters = byte_letters()
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(letters)})
+        self.bytes = {ord(c): b for b, c in enumerate(letters)}
         self.bpe = None if by_library else PrefixBpe(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
         names = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.names = {i: t.encode() for i, t in names.items()}
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                ids = [t.id for t in self.model.tokenize(word)] if self.by_library else self.bpe.encode(word)
-            if len(self.words) >= HELD:
-                self.words, self.older = {}, self.words
-            self.words[word] = ids
-        return ids
-
-    def piece(self, text: str) -> list[int]:
-        """ids of a piece of text whose borders no token crosses."""
-        if text.isascii() and text.isalpha():
-            return self._word(text.lower())
-        if self.cut_special and "<|" in text:
+    def ids(self, word: str | int) -> list[int]:
+        """ids of one normalised word; a number is a special token's id."""
+        if isinstance(word, int):
+            return [word]
+        if not (word.isascii() and word.isalpha()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(word)] if self.bpe is None else self.bpe.encode(word)
+
+    def split(self, text: str) -> list[str | int]:
+        """Normalised words of a piece of text whose borders no token crosses."""
+        if "<|" in text:
             parts = self.cut_special.split(text)
             if len(parts) > 1:
-                out: list[int] = []
-                for i, p in enumerate(parts):
-                    out += [self.special[p]] if i % 2 else self.piece(p)
-                return out
-        out = []
+                return [w for i, p in enumerate(parts) for w in ([self.special[p]] if i % 2 else self.split(p))]
         if PLAIN.fullmatch(text):
-            for w in self.rule.findall(text.lower()):
-                out += self._word(w.translate(self.letters) if w.isascii() else w.encode().decode("latin-1").translate(self.letters))
-        else:
-            for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(text)):
-                out += self._word(w)
-        return out
+            return self.rule.findall(text.lower())
+        return [w.translate(self.bytes).encode("latin-1").decode() for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(text))]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -203,25 +187,47 @@ class Encoder:
 
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
+LAST_PLAIN = "\u024f"
 
 
 class Held(dict):
-    """Piece of text to what make(ids) gives, computed when first asked for; bounded, in two generations."""
+    """Piece of text to join([make(ids of a word), ...]), worked out when first asked for.
+
+    Pieces and words are held in two generations of bounded size.
+    """
 
-    def __init__(self, encoder: Encoder, make):
+    def __init__(self, encoder: Encoder, make, join):
         super().__init__()
-        self.encoder, self.make, self.older = encoder, make, {}
+        self.encoder, self.make, self.join = encoder, make, join
+        self.words, self.old_words, self.old = {}, {}, {}
+
+    def word(self, w):
+        v = self.words.get(w)
+        if v is None:
+            v = self.old_words.get(w)
+            if v is None:
+                v = self.make(self.encoder.ids(w))
+            if len(self.words) >= HELD:
+                self.words, self.old_words = {}, self.words
+            self.words[w] = v
+        return v
 
     def __missing__(self, text):
-        if len(self) >= HELD:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(text, self)
-        if out is self:
-            out = self.make(self.encoder.piece(text))
+        v = self.old.get(text)
+        if v is None:
+            low = text.lower()
+            if low.isalpha() and max(low) <= LAST_PLAIN:
+                v = self.word(low)
+            elif low[-1:] in (".", ",") and low[:-1].isalpha() and max(low) <= LAST_PLAIN:
+                v = self.join([self.word(low[:-1]), self.word(low[-1])])
+            else:
+                v = self.join([self.word(w) for w in self.encoder.split(text)])
         if len(text) <= 64:
-            self[text] = out
-        return out
+            if len(self) >= HELD:
+                self.old = dict(self)
+                self.clear()
+            self[text] = v
+        return v
 
 
 @lru_cache(maxsize=4)
@@ -229,15 +235,25 @@ def encoder(path: str, by_library: bool = False) -> Encoder:
     return Encoder(path, by_library)
 
 
+def _join_described(parts):
+    parts = [p for p in parts if p[0]]
+    return sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])
+
+
 @lru_cache(maxsize=4)
 def _described(path: str) -> Held:
-    enc = encoder(path)
-    return Held(enc, lambda ids: (len(ids), b" ".join(b"%d" % i for i in ids), b" ".join([enc.names[i] for i in ids])) if ids else None)
+    names = encoder(path).names
+    return Held(encoder(path), lambda ids: (len(ids), b" ".join([b"%d" % i for i in ids]), b" ".join([names[i] for i in ids])), _join_described)
+
+
+@lru_cache(maxsize=4)
+def _listed(path: str) -> Held:
+    return Held(encoder(path), tuple, lambda parts: tuple(i for p in parts for i in p))
 
 
 def encode(text: str | None, path: str | None = None) -> list[int]:
-    enc = encoder(path or default_path())
-    return [i for p in enc.pieces(text or "") for i in enc.piece(p)]
+    held = _listed(path or default_path())
+    return [i for p in Encoder.pieces(text or "") for i in held[p]]
 
 
 def decode(ids: list[int], path: str | None = None) -> str:
@@ -272,7 +288,7 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             n, ids, plain = [], [], []
             for x in b.column("text"):
-                got = [v for v in [held[p] for p in pieces(x.as_py() or "")] if v]
+                got = [v for v in [held[p] for p in pieces(x.as_py() or "")] if v[0]]
                 n.append(sum([v[0] for v in got]))
                 ids.append(sha256(b" ".join([v[1] for v in got])).hexdigest())
                 plain.append(sha256(b" ".join([v[2] for v in got])).hexdigest())

@@ -62,7 +62,8 @@ def first_fit_decreasing(lengths: list[int], capacity: int = LENGTH) -> list[tup
 
 @lru_cache(maxsize=4)
 def _packed(path: str) -> Held:
-    return Held(encoder(path, True), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    cells = [struct.pack("<I", i) for i in range(1 + max(encoder(path, True).names))]
+    return Held(encoder(path, True), lambda ids: b"".join([cells[i] for i in ids]), b"".join)
 
 
 def token_bytes(text: str | None, path: str, end_id: int | None = END_ID) -> bytes:
