@@ -25,7 +25,7 @@ from .common import materialise, table
 ALPHA = 0.1  # of the smoothed unigram
 FOLDS, TEST_FOLD, EM_FOLD = 10, 0, 1
 PAIR_BYTES = 7  # of a word pair's key; a word's has all 8
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 EM_ROUNDS = 40
 STEPS = 4  # of an octave, in the grid that EM reads
 

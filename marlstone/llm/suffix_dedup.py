@@ -32,6 +32,7 @@ from .common import materialise, table
 from .suffix_array import repeated_starts
 
 LENGTH, K, STRETCH = 200, 64, 17
+SEGMENT = 1 << 19  # starts whose anchors are found at once; below 2 ** 24
 CHUNK = 200_000  # symbols sorted at once, about
 LARGE = 20_000  # distinct stretches around one core from which they are counted instead of sorted
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -40,7 +41,7 @@ _powers: list[np.ndarray] = []
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        m = 1 << max(22, n.bit_length())
+        m = 1 << n.bit_length()
         _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(m - 1, np.uint64(b), np.uint64))), dtype=np.uint64) for b in (_BASE, pow(int(_BASE), -1, 1 << 64))]
     return _powers[0], _powers[1]
 
@@ -60,17 +61,12 @@ def window_hashes(raw: bytes, k: int) -> np.ndarray:
 
 def anchor_places(h: np.ndarray, starts: int, width: int) -> np.ndarray:
     """For each start s, the leftmost place of the lowest of h[s : s + width] (by its upper 40 bits)."""
-    out = np.empty(starts, np.int64)
-    for a in range(0, starts, 1 << 22):
-        z = min(starts, a + (1 << 22))
-        part = h[a : z + width - 1]
-        m, step = (part & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(part), dtype=np.uint64), 1
-        while 2 * step <= width:
-            m, step = np.minimum(m[:-step], m[step:]), 2 * step
-        if step < width:
-            m = np.minimum(m[: step - width], m[width - step :])
-        out[a:z] = (m & np.uint64(0xFFFFFF)).astype(np.int64) + a
-    return out
+    m, step = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * step <= width:
+        m, step = np.minimum(m[:-step], m[step:]), 2 * step
+    if step < width:
+        m = np.minimum(m[: step - width], m[width - step :])
+    return (m[:starts] & np.uint64(0xFFFFFF)).astype(np.int32)
 
 
 def records(raw: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -87,14 +83,19 @@ def records(raw: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(np.cumsum(inside)[:n] > 0)
     if not len(starts):
         return none
-    h = window_hashes(raw, K)
-    place = anchor_places(h, n, LENGTH - K + 1)[starts]
+    place, anchor = np.empty(n, np.int64), np.empty(n, np.uint64)
+    for a in range(0, n, SEGMENT):
+        z = min(n, a + SEGMENT)
+        h = window_hashes(raw[a : z - 1 + LENGTH], K)
+        near = anchor_places(h, z - a, LENGTH - K + 1)
+        place[a:z], anchor[a:z] = near + np.int64(a), h[near]
+    place = place[starts]
     cut = np.flatnonzero((place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
     lo, hi = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))]
     at = place[np.concatenate(([0], cut))]
     digest = xxhash.xxh3_64_intdigest
     spans = np.array([digest(raw[a:z], o) for a, z, o in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist())], np.uint64)
-    return h[at], spans, lo, hi, at
+    return anchor[lo], spans, lo, hi, at
 
 
 def text_and_records(docs: DataFrame, parts: int) -> DataFrame:
