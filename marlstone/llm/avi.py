@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 
 FPS = 25
 SIDE = 8  # blocks of a full frame's side
@@ -360,7 +360,7 @@ def media_files(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([write_avi(padded((x.as_py() or "").encode())) for x in b.column("text")], pa.binary())], ["doc_id", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, media binary")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, media binary")
 
 
 def padded(raw: bytes) -> bytes:
@@ -392,7 +392,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         run, f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 

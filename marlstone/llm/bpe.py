@@ -20,7 +20,7 @@ import regex
 from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 
 WORD_END = "\ue000"  # stands for the vocabulary's end-of-word suffix inside the automaton
 PLAIN = re.compile("[\x00-ɏ]*")
@@ -272,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([decode(i, path) for i in ids], pa.string())], ["doc_id", "ids", "decoded"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -294,7 +294,7 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 plain.append(sha256(b" ".join([v[2] for v in got])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(plain)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands Python at most about BATCH_BYTES at once, unless the user has chosen a size."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key, "64MB").lower() in ("64mb", "67108864b", "67108864"):
+        conf.set(key, str(BATCH_BYTES))
+    return df

@@ -15,7 +15,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -337,7 +337,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 ["page_id", "text", "n_lines", "text_sha256"],
             )
 
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id {id_type}, text string, n_lines long, text_sha256 string")
+    return bounded_batches(pages).select("page_id", "html").mapInArrow(run, f"page_id {id_type}, text string, n_lines long, text_sha256 string")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 DIMS, N = 4096, 3
 SAMPLE = 300  # labelled texts for each language to fit centroids on, at most: the smallest hashes of doc_id
@@ -66,7 +66,7 @@ def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np
 
 def fit(docs: DataFrame) -> dict:
     """idf over all labelled texts of docs (doc_id, text, lang), and centroids from the bounded sample."""
-    usable = docs.where("text is not null and lang is not null")
+    usable = bounded_batches(docs).where("text is not null and lang is not null")
 
     def document_frequencies(batches):
         df = np.zeros(DIMS, np.int64)
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             got = predict_texts(b.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
@@ -147,7 +147,7 @@ def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
             keep = [not r for _, _, r in predict_texts(b.column("text").to_pylist(), model)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def fold(doc_id="doc_id"):

@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .blocks import dealt, squeeze, text_blocks, thick, thin, unsqueeze
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 
 ALPHA = 0.1  # of the smoothed unigram
 FOLDS, TEST_FOLD, EM_FOLD = 10, 0, 1
 PAIR_BYTES = 7  # of a word pair's key; a word's has all 8
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 EM_ROUNDS = 40
 STEPS = 4  # of an octave, in the grid that EM reads
 
@@ -72,7 +72,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "em", "doc_ids", "folds", "lens", "ids", "words"])
 
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    return docs.select("doc_id", fold.alias("fold"), "text").mapInArrow(run, f"block string, em boolean, doc_ids array<{id_type}>, folds array<int>, lens array<bigint>, ids binary, words binary")
+    return bounded_batches(docs).select("doc_id", fold.alias("fold"), "text").mapInArrow(run, f"block string, em boolean, doc_ids array<{id_type}>, folds array<int>, lens array<bigint>, ids binary, words binary")
 
 
 def count_service(blocks: DataFrame, parts: int) -> DataFrame:
@@ -174,7 +174,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task answers several parts, one after the other
     blocks = materialise(token_blocks(docs), "lm-blocks")
     replies = materialise(count_service(blocks, parts), "lm-replies")
     known, tokens, em_tokens = (int(x or 0) for x in replies.where("block is null").agg(F.sum("known"), F.sum("tokens"), F.sum("em_tokens")).first())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import Encoder, Held, default_path, encoder
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 
 LENGTH, END_ID = 4096, 2
 GROUP = 8192  # documents of a group, about
@@ -93,7 +93,7 @@ def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = LE
             out = [pa.array(c, t) for c, t in zip(cols, kinds)] + ([pa.array(ids, pa.binary())] if with_ids else [])
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(id_type) + ", ids binary" * with_ids)
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, PIECES.format(id_type) + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end_id: int = END_ID, group: int = GROUP, with_ids: bool = False) -> DataFrame:

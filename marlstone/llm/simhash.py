@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 from .graph import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def link_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .blocks import arrow_blocks, dealt, rows_of, squeeze, unsqueeze
-from .common import materialise, table
+from .common import bounded_batches, materialise, table
 from .suffix_array import repeated_starts
 
 LENGTH, K, STRETCH = 200, 64, 17
@@ -119,7 +119,7 @@ def text_and_records(docs: DataFrame, parts: int) -> DataFrame:
             cells = [rest, squeeze(lens), squeeze(raw), *[squeeze(x.astype("<u4")) for x in (lo, hi, at, uid, borders)], a[heads][deal].tobytes(), s[heads][deal].tobytes(), squeeze(counts.astype("<u4"))]
             yield pa.RecordBatch.from_arrays([pa.array([name]), *[pa.array([c], pa.binary()) for c in cells]], BLOCK_COLUMNS)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} {'string' if c == 'block' else 'binary'}" for c in BLOCK_COLUMNS))
+    return bounded_batches(docs).mapInArrow(run, ", ".join(f"{c} {'string' if c == 'block' else 'binary'}" for c in BLOCK_COLUMNS))
 
 
 BLOCK_COLUMNS = ["block", "rest", "lens", "raw", "lo", "hi", "at", "uid", "borders", "anchors", "spans", "counts"]
