@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Rank of each kind of value in the order over all kinds (fixed values).
-TYPE_RANK = {"Unit": 0, "Bool": 1, "SignedInt": 2, "UnsignedInt": 3, "Float": 4, "Tuple": 5, "Vec": 6, "VecBasic": 7, "VecBool": 8, "Map": 9, "Object": 10, "Document": 11, "String": 12, "UnicodeChar": 13, "UUID": 14, "CryptoHash": 15, "EncryptedPassword": 16, "PublicKey": 17, "PrivateKey": 18, "KeyPair": 19, "Signature": 20, "SignedExtent": 21, "SignedGlyph": 22, "EncryptedExtent": 23, "EncryptedGlyph": 24, "CiphertextMetadata": 25, "GlifsTxLog": 26, "Unknown": 27, "DateTime": 28}
+TYPE_RANK = {"Unit": 0, "Bool": 1, "SignedInt": 2, "UnsignedInt": 3, "Float": 4, "Tuple": 5, "Vec": 6, "VecBasic": 7, "VecBool": 8, "Map": 9, "Object": 10, "Document": 11, "String": 12, "UnicodeChar": 13, "UUID": 14, "CryptoHash": 15, "EncryptedPassword": 16, "PublicKey": 17, "PrivateKey": 18, "KeyPair": 19, "Signature": 20, "SignedExtent": 21, "SignedValue": 22, "EncryptedExtent": 23, "EncryptedValue": 24, "CiphertextMetadata": 25, "TxLog": 26, "Unknown": 27, "DateTime": 28}
 ERROR_RANK = 99
 
 

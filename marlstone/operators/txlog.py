@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, functions as F
 def build(changes: DataFrame) -> DataFrame:
     """tx_log rows from changes (tx_hash, object_hash, deletes boolean): sorted adds, and deletes naming the adding transaction."""
     return changes.groupBy("tx_hash").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("deletes"), F.col("object_hash")))).alias("glyphs_added"),
-        F.sort_array(F.collect_list(F.when(F.col("deletes"), F.struct("object_hash", F.col("source_tx"))))).alias("glyphs_deleted"),
+        F.sort_array(F.collect_list(F.when(~F.col("deletes"), F.col("object_hash")))).alias("values_added"),
+        F.sort_array(F.collect_list(F.when(F.col("deletes"), F.struct("object_hash", F.col("source_tx"))))).alias("values_deleted"),
     )
 
 
 def adds(log: DataFrame) -> DataFrame:
-    return log.select(F.explode("glyphs_added").alias("object_hash"), "tx_hash")
+    return log.select(F.explode("values_added").alias("object_hash"), "tx_hash")
 
 
 def deletes(log: DataFrame) -> DataFrame:
-    return log.select(F.explode("glyphs_deleted").alias("d"), "tx_hash").select("d.object_hash", "d.source_tx", "tx_hash")
+    return log.select(F.explode("values_deleted").alias("d"), "tx_hash").select("d.object_hash", "d.source_tx", "tx_hash")
 
 
 def live(log: DataFrame) -> DataFrame:

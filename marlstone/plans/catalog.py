@@ -119,6 +119,13 @@ def uuid_text(s, d):
     return EV(s, d).select("user_id", "event_id", F.regexp_replace(F.md5(F.col("event_id").cast("string").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5").alias("uuid"))
 
 
+@query("SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS back FROM events")
+def wire_roundtrip(s, d):
+    from ..sources.value_files import decoded, encoded
+
+    return EV(s, d).select("event_id", decoded(encoded("props")).alias("back"))
+
+
 # C: collections
 
 
@@ -377,7 +384,7 @@ _OBJ = "SELECT sha256('tx|' || l_orderkey) AS tx_hash, sha256(concat_ws('|', l_o
 
 @query(f"SELECT tx_hash, count(*) AS n_adds, sha256(string_agg(object_hash, ',' ORDER BY object_hash)) AS adds_sha256 FROM ({_OBJ}) GROUP BY tx_hash")
 def txlog_build(s, d):
-    return _log(s, d).where("size(glyphs_added) > 0").select("tx_hash", F.size("glyphs_added").cast("long").alias("n_adds"), F.sha2(F.array_join("glyphs_added", ","), 256).alias("adds_sha256"))
+    return _log(s, d).where("size(values_added) > 0").select("tx_hash", F.size("values_added").cast("long").alias("n_adds"), F.sha2(F.array_join("values_added", ","), 256).alias("adds_sha256"))
 
 
 @query(f"SELECT object_hash, tx_hash FROM ({_OBJ})")
