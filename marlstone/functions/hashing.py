@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .values import col
@@ -84,7 +85,7 @@ def bloom_positions(key, bits: int, hashes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i * b, F.lit(bits)).cast("long"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def sha3_256(b):
     """SHA3-256 of bytes, in hex; Spark has no such function."""
     import hashlib
@@ -92,7 +93,7 @@ def sha3_256(b):
     return b.map(lambda x: None if x is None else hashlib.sha3_256(bytes(x)).hexdigest())
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def blake3_256(b):
     """BLAKE3-256 of bytes, in hex."""
     from .primitives import blake3

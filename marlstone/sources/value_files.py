@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import wire
 
@@ -42,7 +42,7 @@ def read_values(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, FIELDS)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encoded(s):
     """The binary form of JSON text: numbers, strings, booleans, null, arrays as vectors, objects as records."""
 
@@ -54,7 +54,7 @@ def encoded(s):
     return s.map(lambda x: None if x is None else wire.encode(of(json.loads(x))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(b):
     """JSON text of a binary value; null where it is malformed."""
 
