@@ -81,10 +81,17 @@ def fit(docs: DataFrame) -> dict:
     total = counts.get(-1) or 0
     idf = np.log((1 + total) / (1 + np.array([counts.get(d, 0) or 0 for d in range(DIMS)]))).astype(np.float32) + 1
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("lang", "doc_id").withColumn("r", rank).where(F.col("r") <= SAMPLE).select("doc_id").limit(SAMPLE * LANGUAGES + 1).collect()
-    if len(ids) > SAMPLE * LANGUAGES:
+    # The smallest hashes of each language; all but about 20 * SAMPLE rows of a language are left out
+    # before they are ranked, so no task ranks a large language whole.
+    sizes = usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    if not sizes:
+        return {"idf": idf, "langs": [], "centroids": np.zeros((0, DIMS), np.float32), "low": np.zeros(0, np.float32)}
+    below = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 40, 20 * SAMPLE * (1 << 40) // r["count"]))])
+    hashed = usable.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).where(F.col("h") < F.element_at(below, F.col("lang")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = hashed.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("doc_id").collect()
     spark = docs.sparkSession
     picked = spark.createDataFrame([(r["doc_id"],) for r in ids], docs.select("doc_id").schema)
 
