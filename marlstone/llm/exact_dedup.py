@@ -11,13 +11,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialise, shared_dir, table
+from .common import shared_dir, table
 
 BUCKETS = 32
 
 
 class DigestIndex:
-    """Digests already seen: (text_sha256, keep_id, group_size), bucketed and sorted by text_sha256.
+    """Digests already seen: (text_sha256, keep_id, group_size, load), bucketed and sorted by text_sha256.
 
     The files live at ``location`` and outlive the session; opening the same
     location again attaches them.  Reading through the catalog keeps the
@@ -29,23 +29,25 @@ class DigestIndex:
         self.spark, self.location, self.buckets = spark, location.rstrip("/"), buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, load STRING) USING parquet "
             f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{self.location}'"
         )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, digests: DataFrame) -> None:
-        """Append the digests (text_sha256, keep_id, group_size) that the index does not hold yet."""
+    def add(self, digests: DataFrame) -> str:
+        """Append the digests (text_sha256, keep_id, group_size) that the index does not hold yet; returns the load's name."""
+        load = uuid.uuid4().hex
         new = digests.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         (
-            new.select("text_sha256", "keep_id", "group_size")
+            new.select("text_sha256", "keep_id", "group_size", F.lit(load).alias("load"))
             .repartition(self.buckets, "text_sha256")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
             .option("path", self.location).saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
+        return load
 
 
 def digested(docs: DataFrame, normalise=None) -> DataFrame:
@@ -87,13 +89,10 @@ def keep_first_seen(docs: DataFrame, index: DigestIndex) -> DataFrame:
     of that doc_id one.  The join is on digest and doc_id together, so a text
     that a third of the rows share is dealt over all tasks.
     """
-    hashed = digested(docs)
-    known = index.read().select("text_sha256")
-    fresh = group_digests(hashed).join(known.hint("merge"), "text_sha256", "left_anti").select(F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"))
-    fresh = materialise(fresh, "fresh-digests")
+    load = index.add(group_digests(digested(docs)))
+    fresh = index.read().where(F.col("load") == load).select(F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"))
     marked = docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     kept = marked.join(fresh.hint("merge"), (marked["__digest"] == fresh["__digest"]) & marked["doc_id"].eqNullSafe(fresh["__keep"]), "left_semi")
-    index.add(fresh.select(F.col("__digest").alias("text_sha256"), F.col("__keep").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
     return kept.dropDuplicates(["__digest", "doc_id"]).drop("__digest")
 
 
