@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-BLOCK_BYTES = 4 << 20  # text of a block, about; one longer document is a block of its own
+BLOCK_BYTES = 2 << 20  # text of a block, about; one longer document is a block of its own
 
 
 def squeeze(a: np.ndarray | bytes) -> bytes:

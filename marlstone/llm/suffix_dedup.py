@@ -80,7 +80,9 @@ def records(raw: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
     long = lens >= LENGTH
     np.add.at(inside, (ends - lens)[long], 1)
     np.add.at(inside, (ends - LENGTH + 1)[long], -1)
-    starts = np.flatnonzero(np.cumsum(inside)[:n] > 0)
+    np.cumsum(inside, out=inside)
+    starts = np.flatnonzero(inside[:n] > 0)
+    del inside
     if not len(starts):
         return none
     place, anchor = np.empty(n, np.int64), np.empty(n, np.uint64)
@@ -89,13 +91,15 @@ def records(raw: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
         h = window_hashes(raw[a : z - 1 + LENGTH], K)
         near = anchor_places(h, z - a, LENGTH - K + 1)
         place[a:z], anchor[a:z] = near + np.int64(a), h[near]
-    place = place[starts]
+    place, anchor = place[starts], anchor[starts]
     cut = np.flatnonzero((place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
-    lo, hi = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))]
-    at = place[np.concatenate(([0], cut))]
+    heads = np.concatenate(([0], cut))
+    lo, hi = starts[heads], starts[np.concatenate((cut - 1, [len(starts) - 1]))]
+    at, anchor = place[heads], anchor[heads]
+    del place, starts
     digest = xxhash.xxh3_64_intdigest
     spans = np.array([digest(raw[a:z], o) for a, z, o in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist())], np.uint64)
-    return anchor[lo], spans, lo, hi, at
+    return anchor, spans, lo, hi, at
 
 
 def text_and_records(docs: DataFrame, parts: int) -> DataFrame:
