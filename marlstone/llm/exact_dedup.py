@@ -9,33 +9,49 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import shared_dir, table
 
-BUCKETS = 32
+BUCKETS = 32  # of a new index, at least; as many as the session's shuffle partitions if those are more
 
 
 class DigestIndex:
     """Digests already seen: (text_sha256, keep_id, group_size, load), bucketed and sorted by text_sha256.
 
     The files live at ``location`` and outlive the session; opening the same
-    location again attaches them.  Reading through the catalog keeps the
-    bucketing, so the index side of the anti-join needs no shuffle when the
-    query runs with as many partitions as buckets, and is re-dealt otherwise.
+    location again attaches them, with the number of buckets they were made
+    with, which a one-row table beside them keeps.
     """
 
-    def __init__(self, spark: SparkSession, location: str, buckets: int = BUCKETS):
-        self.spark, self.location, self.buckets = spark, location.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, location: str, buckets: int | None = None):
+        self.spark, self.location = spark, location.rstrip("/")
+        self.buckets = self._layout(buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, load STRING) USING parquet "
-            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{self.location}'"
+            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.location}'"
         )
 
+    def _layout(self, buckets: int) -> int:
+        at = f"{self.location}.layout"
+        try:
+            return self.spark.read.schema("buckets int").parquet(at).first()["buckets"]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        self.spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(at)
+        return buckets
+
     def read(self) -> DataFrame:
+        """The bucketed table: joins on the digest with as many partitions need no shuffle of it."""
         return self.spark.table(self.name)
 
+    def files(self) -> DataFrame:
+        """The same rows without the bucketing, for joins with rows of which many may share a digest: AQE can split what it shuffles itself."""
+        return self.spark.read.schema(self.read().schema).parquet(self.location)
+
     def add(self, digests: DataFrame) -> str:
         """Append the digests (text_sha256, keep_id, group_size) that the index does not hold yet; returns the load's name."""
         load = uuid.uuid4().hex
@@ -76,7 +92,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, normalise=None) -> DataFram
     hashed = digested(docs, normalise)
     index.add(group_digests(hashed))
     # The hot side is split by AQE's skew join: every row meets one index row.
-    return hashed.join(index.read().hint("merge"), "text_sha256").select(
+    return hashed.join(index.files().hint("merge"), "text_sha256").select(
         "doc_id", "keep_id", "group_size",
         F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256",
     )
@@ -90,7 +106,7 @@ def keep_first_seen(docs: DataFrame, index: DigestIndex) -> DataFrame:
     that a third of the rows share is dealt over all tasks.
     """
     load = index.add(group_digests(digested(docs)))
-    fresh = index.read().where(F.col("load") == load).select(F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"))
+    fresh = index.files().where(F.col("load") == load).select(F.col("text_sha256").alias("__digest"), F.col("keep_id").alias("__keep"))
     marked = docs.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     kept = marked.join(fresh.hint("merge"), (marked["__digest"] == fresh["__digest"]) & marked["doc_id"].eqNullSafe(fresh["__keep"]), "left_semi")
     return kept.dropDuplicates(["__digest", "doc_id"]).drop("__digest")

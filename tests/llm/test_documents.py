@@ -391,7 +391,16 @@ def test_the_index_outlives_a_load(spark, tmp_path):
     exact_dedup.deduplicate(first, exact_dedup.DigestIndex(spark, at)).collect()
     got = exact_dedup.deduplicate(later, exact_dedup.DigestIndex(spark, at))
     assert {r.doc_id: (r.keep_id, r.kept) for r in got.collect()} == {9: (3, False), 10: (11, False), 11: (11, True)}
-    assert exact_dedup.DigestIndex(spark, at).read().count() == 3
+    again = exact_dedup.DigestIndex(spark, at, buckets=5)
+    assert again.buckets == exact_dedup.BUCKETS and again.read().count() == 3 == again.files().count()
+
+
+def test_a_text_that_a_third_of_the_rows_share(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('t', id) END AS text")
+    got = exact_dedup.deduplicate(df, exact_dedup.new_index(spark))
+    assert got.where("text_sha256 = sha2('hot', 256) AND group_size = 1000 AND keep_id = 2997").count() == 1000
+    assert got.where("kept").count() == 2001
+    assert exact_dedup.keep_first_seen(df, exact_dedup.new_index(spark)).count() == 2001
 
 
 def test_rows_that_stay(edge, spark):
