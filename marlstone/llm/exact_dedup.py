@@ -12,7 +12,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, table
+from .common import materialise, shared_dir, table
 
 BUCKETS = 32  # of a new index, at least; as many as the session's shuffle partitions if those are more
 
@@ -55,6 +55,8 @@ class DigestIndex:
     def add(self, digests: DataFrame) -> str:
         """Append the digests (text_sha256, keep_id, group_size) that the index does not hold yet; returns the load's name."""
         load = uuid.uuid4().hex
+        # written first: the optimiser would move the anti-join below the aggregation, to where a hot digest still has all its rows
+        digests = materialise(digests, "digests")
         new = digests.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         (
             new.select("text_sha256", "keep_id", "group_size", F.lit(load).alias("load"))
