@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import sealing
 
 
 def build(changes: DataFrame) -> DataFrame:
-    """tx_log rows from changes (tx_hash, object_hash, deletes boolean): sorted adds, and deletes naming the adding transaction."""
-    return changes.groupBy("tx_hash").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("deletes"), F.col("object_hash")))).alias("values_added"),
-        F.sort_array(F.collect_list(F.when(F.col("deletes"), F.struct("object_hash", F.col("source_tx"))))).alias("values_deleted"),
-    )
+    """tx_log rows from changes (tx_hash, object_hash, deletes boolean): sorted adds, and deletes naming the adding transaction.
+
+    Changes with a boolean column extent list the extents apart from the values.
+    """
+    split = {"values": ~F.col("extent"), "extents": F.col("extent")} if "extent" in changes.columns else {"values": F.lit(True)}
+    lists = []
+    for name, here in split.items():
+        lists.append(F.sort_array(F.collect_list(F.when(here & ~F.col("deletes"), F.col("object_hash")))).alias(f"{name}_added"))
+        lists.append(F.sort_array(F.collect_list(F.when(here & F.col("deletes"), F.struct("object_hash", F.col("source_tx"))))).alias(f"{name}_deleted"))
+    return changes.groupBy("tx_hash").agg(*lists)
+
+
+def _signed_part(log: DataFrame) -> Column:
+    """All of a transaction but its signature, as bytes; columns by name."""
+    return F.encode(F.to_json(F.struct(*sorted(c for c in log.columns if c not in ("signature", "sig_valid"))), {"ignoreNullFields": "false"}), "UTF-8")
+
+
+def signed(log: DataFrame, seed) -> DataFrame:
+    """The log with a signature of everything else in each transaction."""
+    return log.withColumn("signature", sealing.signed(_signed_part(log), seed))
+
+
+def checked(log: DataFrame) -> DataFrame:
+    """The log with sig_valid; a transaction whose signature does not hold is flagged and kept."""
+    return log.withColumn("sig_valid", sealing.signer(_signed_part(log), "signature").isNotNull())
 
 
 def adds(log: DataFrame) -> DataFrame:
