@@ -733,3 +733,55 @@ def set_except_hashes(s, d):
 def set_intersect_hashes(s, d):
     a, b = _sets(s, d)
     return a.intersect(b)
+
+
+@query("SELECT c_custkey, c_custkey % 7 <> 3 AS sig_valid, CASE WHEN c_custkey % 7 = 3 THEN 1 ELSE 0 END + CAST(c_custkey % 4 <> 0 AS BIGINT) AS n_values, CAST(c_custkey % 4 = 0 AS BIGINT) AS n_extents FROM customer")
+def txlog_signed(s, d):
+    """A transaction for each customer, signed; those changed afterwards are flagged and kept."""
+    changes = CUST(s, d).select(
+        F.col("c_custkey").cast("string").alias("tx_hash"), F.sha2("c_name", 256).alias("object_hash"), F.lit(False).alias("deletes"),
+        F.lit(None).cast("string").alias("source_tx"), (F.col("c_custkey") % 4 == 0).alias("extent"),
+    )
+    log = X.signed(X.build(changes), F.lit(bytes(range(32))))
+    key = F.col("tx_hash").cast(CUST(s, d).schema["c_custkey"].dataType)
+    late = F.when(key % 7 == 3, F.concat("values_added", F.array(F.lit("x")))).otherwise(F.col("values_added"))
+    checked = X.checked(log.withColumn("values_added", late))
+    return checked.select(key.alias("c_custkey"), "sig_valid", F.size("values_added").cast("long").alias("n_values"), F.size("extents_added").cast("long").alias("n_extents"))
+
+
+@query("SELECT c_custkey, c_name AS by_key, c_name AS by_agreement, c_name AS by_password, CAST(NULL AS VARCHAR) AS by_other FROM customer")
+def sealed_roundtrip(s, d):
+    """Names under a key, for a public key and under a password, opened again; no other key opens one."""
+    from ..functions import sealing as S
+
+    key, other, word = F.lit(bytes(range(32))), F.lit(bytes(range(1, 33))), F.lit(b"a password")
+    content = F.encode("c_name", "UTF-8")
+    boxes = CUST(s, d).select(
+        "c_custkey", S.sealed(content, key).alias("k"), S.sealed_for(content, S.x25519_public_key(key), other).alias("x"),
+        S.sealed_with_password(content, word, F.unhex(F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 32))).alias("p"),
+    )
+    wrong = F.coalesce(S.opened("k", other), S.opened_by("x", other), S.opened_with_password("p", other))
+    opened = {"by_key": S.opened("k", key), "by_agreement": S.opened_by("x", key), "by_password": S.opened_with_password("p", word), "by_other": wrong}
+    return boxes.select("c_custkey", *[c.cast("string").alias(n) for n, c in opened.items()])
+
+
+@query("SELECT n_nationkey, n_nationkey % 5 <> 2 AS valid, n_nationkey % 5 <> 2 AS with_statement FROM nation")
+def signed_content(s, d):
+    """Signers' fingerprints, which only unchanged content has."""
+    from ..functions import sealing as S
+
+    key, content = F.lit(bytes(range(32))), F.encode("n_name", "UTF-8")
+    sent = NAT(s, d).select("n_nationkey", content.alias("content"), S.signed(content, key).alias("bare"), S.signed(content, key, F.encode(F.lit("seen"), "UTF-8")).alias("said"))
+    now = F.when(F.col("n_nationkey") % 5 == 2, F.concat("content", F.lit(b"!"))).otherwise(F.col("content"))
+    mine = S.fingerprint(S.ed25519_public_key(key))
+    return sent.select("n_nationkey", F.coalesce(S.signer(now, "bare") == mine, F.lit(False)).alias("valid"), F.coalesce(S.signer(now, "said") == mine, F.lit(False)).alias("with_statement"))
+
+
+@query("SELECT r_regionkey, true AS right_matches, false AS wrong_matches FROM region")
+def password_check(s, d):
+    """Argon2id of each name, matched by the name and by nothing else."""
+    from ..functions import sealing as S
+
+    word, salt = F.encode("r_name", "UTF-8"), F.unhex(F.md5(F.encode("r_name", "UTF-8")))
+    stored = REG(s, d).select("r_regionkey", word.alias("w"), salt.alias("s"), S.password_digest(word, salt).alias("d"))
+    return stored.select("r_regionkey", S.password_matches("w", "s", "d").alias("right_matches"), S.password_matches(F.concat("w", F.lit(b"?")), "s", "d").alias("wrong_matches"))

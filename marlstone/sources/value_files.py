@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions import wire
 
+SUFFIX = ".values"
 FIELDS = "path string, ordinal long, type string, json string, error string"
 
 
@@ -65,3 +70,73 @@ def decoded(b):
             return None
 
     return b.map(one)
+
+
+class _Writer(DataSourceArrowWriter):
+    def __init__(self, path: str, column: str, overwrite: bool, roll: int):
+        self.path, self.column, self.overwrite, self.roll = path.removeprefix("file://"), column, overwrite, roll
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        task, names = TaskContext.get(), []
+        stem = f"part-{task.partitionId():05d}-{uuid.uuid4().hex}"
+        os.makedirs(self.path, exist_ok=True)
+        out, size = None, 0
+        for batch in iterator:
+            for b in batch.column(self.column).to_pylist():
+                value = wire.encode(None) if b is None else b
+                if out is not None and size + len(value) > self.roll:
+                    out.close()
+                    out = None
+                if out is None:
+                    names.append(f"{stem}-{len(names):03d}{SUFFIX}")
+                    out, size = open(os.path.join(self.path, "_" + names[-1]), "wb"), 0
+                out.write(value)
+                size += len(value)
+        if out is not None:
+            out.close()
+        return _Written(names)
+
+    def commit(self, messages):
+        new = [n for m in messages if m is not None for n in m.names]
+        old = [n for n in os.listdir(self.path) if n.endswith(SUFFIX) and not n.startswith("_")] if self.overwrite and os.path.isdir(self.path) else []
+        for n in new:
+            os.rename(os.path.join(self.path, "_" + n), os.path.join(self.path, n))
+        for n in old:
+            os.remove(os.path.join(self.path, n))
+
+    def abort(self, messages):
+        for m in messages:
+            for n in m.names if m is not None else []:
+                os.remove(os.path.join(self.path, "_" + n))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list
+
+
+class ValueFiles(DataSource):
+    """Sink "marlstone_values": a binary column of encoded values, back to back in files that read_values reads.
+
+    The path is a folder mounted on the driver and all executors. Options:
+    column, and roll, the size in bytes from which a task starts its next file.
+    Files appear when the whole job commits; names with a leading underscore are
+    of failed attempts, and readers skip them. A null is written as the null value.
+    """
+
+    @classmethod
+    def name(cls):
+        return "marlstone_values"
+
+    def writer(self, schema, overwrite):
+        column = self.options.get("column", schema.names[0])
+        if not isinstance(schema[column].dataType, T.BinaryType):
+            raise ValueError(f"column {column} is not binary")
+        return _Writer(self.options["path"], column, overwrite, int(self.options.get("roll", 64 << 20)))
+
+
+def write_values(df: DataFrame, column: str, path: str, mode: str = "append", roll: int = 64 << 20) -> None:
+    df.sparkSession.dataSource.register(ValueFiles)
+    df.select(column).write.format(ValueFiles.name()).option("column", column).option("roll", roll).mode(mode).save(path)

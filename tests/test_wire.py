@@ -63,3 +63,37 @@ def test_files(spark, tmp_path):
     (tmp_path / "cut").write_bytes(encode("whole") + encode("cut")[:12])
     got = {(r.path.rsplit("/", 1)[-1], r.ordinal): (r.type, r.json, r.error is None) for r in read_values(spark, str(tmp_path)).collect()}
     assert got == {("good", 0): ("SignedInt", "1", True), ("good", 1): ("String", '"two"', True), ("good", 2): ("Vec", "[3]", True), ("cut", 0): ("String", '"whole"', True), ("cut", 1): (None, None, False)}
+
+
+def test_values_written_are_read_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from marlstone.sources.value_files import encoded, read_values, write_values
+
+    path = str(tmp_path / "out")
+    rows = spark.range(500).repartition(3).select(F.when(F.col("id") != 7, encoded(F.format_string('{"k": %d}', "id"))).alias("v"), F.lit(1).alias("other"))
+    write_values(rows, "v", path, roll=2000)
+    want = sorted([f'{{"k": {i}}}' for i in range(500) if i != 7] + ["null"])
+
+    def back():
+        return sorted(r.json for r in read_values(spark, path).where("error is null").collect())
+
+    assert back() == want and spark.read.format("binaryFile").load(path).where("length > 2000").count() == 0
+    write_values(rows.limit(0), "v", path)
+    assert back() == want
+    write_values(rows.where("v is null"), "v", path, "overwrite")
+    assert back() == ["null"]
+    with pytest.raises(Exception, match="not binary"):
+        write_values(rows, "other", path)
+    assert back() == ["null"]
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from marlstone.sources.value_files import write_values
+
+    rows = spark.range(10).repartition(2).select(F.when(F.col("id") == 3, F.raise_error(F.lit("no"))).otherwise(F.lit(b"x")).alias("v"))
+    with pytest.raises(Exception):
+        write_values(rows, "v", str(tmp_path))
+    assert not [p for p in tmp_path.iterdir() if not p.name.startswith("_")]
