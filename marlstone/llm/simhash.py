@@ -45,18 +45,28 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 class BKTree:
-    """Fingerprints below their parent by integer Hamming distance."""
+    """Fingerprints below their parent by integer Hamming distance, each with a value.
+
+    A node is [fingerprint, value, children, label]: the label is a value of the
+    subtree's while all its values are of one class, None once they may not be.
+    """
 
     def __init__(self):
         self.root = None
 
-    def add(self, fp: int, value) -> None:
-        node = [fp, value, {}]
+    def add(self, fp: int, value, same=lambda a, b: False) -> None:
+        """same(a, b) says whether two values are of one class; classes may merge later, but not split."""
+        node = [fp, value, {}, value]
         if self.root is None:
             self.root = node
             return
         at = self.root
         while True:
+            if at[3] is None:  # what was apart may have been joined since
+                if same(at[1], value) and all(x[3] is not None and same(x[3], value) for x in at[2].values()):
+                    at[3] = value
+            elif not same(at[3], value):
+                at[3] = None
             d = (at[0] ^ fp).bit_count()
             below = at[2].get(d)
             if below is None:
@@ -64,10 +74,13 @@ class BKTree:
                 return
             at = below
 
-    def within(self, fp: int, radius: int):
+    def within(self, fp: int, radius: int, known=lambda label: False):
+        """Values within the radius, but for subtrees of one class that is known by the time the search gets there."""
         todo = [self.root] if self.root else []
         while todo:
             at = todo.pop()
+            if at[3] is not None and known(at[3]):
+                continue
             d = (at[0] ^ fp).bit_count()
             if d <= radius:
                 yield at[1]
@@ -77,7 +90,11 @@ class BKTree:
 
 
 def shard_links(fps: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one shard: no two texts that link are parted, no clique is spelt out."""
+    """A spanning forest of the links within one shard: no two texts that link are parted, no clique is spelt out.
+
+    A search leaves out subtrees whose fingerprints are all in the searcher's
+    component already, so a large group of near copies costs a few steps each.
+    """
     if len(fps) == 2:
         return [(ids[0], ids[1])] if (fps[0] ^ fps[1]).bit_count() <= radius else []
     tree, up, out = BKTree(), list(range(len(fps))), []
@@ -88,13 +105,16 @@ def shard_links(fps: list[int], ids: list[int], radius: int) -> list[tuple[int,
             i = up[i]
         return i
 
+    def same(i, j):
+        return top(i) == top(j)
+
     for i, fp in enumerate(fps):
-        for j in tree.within(fp, radius):
+        for j in tree.within(fp, radius, lambda label: same(label, i)):
             a, b = top(i), top(j)
             if a != b:
                 up[a] = b
                 out.append((ids[i], ids[j]))
-        tree.add(fp, i)
+        tree.add(fp, i, same)
     return out
 
 
