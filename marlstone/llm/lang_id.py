@@ -4,7 +4,7 @@ A text is a TF-IDF vector of hashed byte trigrams over its lower-cased words,
 normalised to length one.  Each language has several centroids (spherical
 k-means over a bounded sample of labelled texts); a text gets the language of
 the centroid with the highest cosine, and is rejected where that centroid is
-much further away than any sampled text of its language.
+much further away than the labelled texts around it that have about as many trigrams.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from .common import bounded_batches, table
 DIMS, N = 4096, 3
 SAMPLE = 300  # labelled texts for each language to fit centroids on, at most: the smallest hashes of doc_id
 LANGUAGES = 200  # more learned languages than these are refused
-CENTROIDS, ROUNDS = 4, 20
-SLACK = 0.25  # a text is rejected below this share of the lowest cosine among its language's sampled texts
+CENTROIDS, ROUNDS, SHARE = 4, 20, 0.02
+SLACK = 0.25  # a text is rejected below this share of the median cosine of labelled texts of its length around its centroid
+CLASSES, MEMBERS, BINS = 13, 20, 64  # classes of length (powers of two of distinct trigrams, up to DIMS), labelled texts a class needs, steps of a cosine
 FOLDS, TEST_FOLD = 3, 1
 UNKNOWN = "und"
 _LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -44,8 +45,13 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of length one and the lowest cosine among each one's members; starts from texts far apart."""
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """By distinct trigrams: a word said a thousand times shows no more of its language than the word."""
+    return np.ceil(np.log2(np.maximum(np.count_nonzero(counts, axis=-1), 1))).astype(int)
+
+
+def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
+    """Centroids of length one; starts from texts far apart.  One that holds under SHARE of the texts is an odd text's and goes."""
     chosen, best = [int(np.argmax(x @ x.mean(axis=0)))], None
     while len(chosen) < min(k, len(x)):
         near = x @ x[chosen[-1]]
@@ -59,13 +65,64 @@ def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[np
         if np.allclose(new, c):
             break
         c = new
-    cos = x @ c.T
-    at = np.argmax(cos, axis=1)
-    return c, np.array([cos[at == j, j].min() if (at == j).any() else 1.0 for j in range(len(c))], np.float32)
+    n = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    return c[(n >= SHARE * len(x)) | (n == n.max())]
+
+
+def typical(hist: np.ndarray) -> np.ndarray:
+    """The median cosine of each length class, from the counts (centroids of one language, CLASSES, BINS).
+
+    A class of fewer than MEMBERS texts takes the language's; one that the
+    language lacks as well takes the next shorter class's, and where there is
+    none, the next longer one's less by the root of the length, as cosines of
+    short texts go.
+    """
+
+    def median(h):
+        return (int(np.searchsorted(np.cumsum(h), h.sum() / 2)) + 0.5) / BINS
+
+    whole = hist.sum(axis=0)
+    n = whole.sum(axis=1)
+    full = np.flatnonzero(n >= min(MEMBERS, n.max()))
+    out = np.zeros(hist.shape[:2], np.float32)
+    for k in range(CLASSES):
+        at = full[max(0, np.searchsorted(full, k, "right") - 1)]
+        out[:, k] = median(whole[at]) * 2.0 ** (min(0, k - at) / 2)
+        for j in np.flatnonzero(hist[:, k].sum(axis=1) >= MEMBERS):
+            out[j, k] = median(hist[j, k])
+    return out
+
+
+def typical_cosines(usable: DataFrame, model: dict) -> np.ndarray:
+    """The median cosine of all labelled texts (text, lang) around each centroid of their own language, by length class."""
+    langs, centroids, idf = np.array(model["langs"]), model["centroids"], model["idf"]
+
+    def around(batches):
+        hist = {}
+        for b in batches:
+            texts, labels = b.column("text"), np.array(b.column("lang").to_pylist(), object)
+            for at in range(0, len(texts), 256):
+                counts = np.stack([term_counts(t.as_py()) for t in texts[at : at + 256]])
+                cos = np.where(labels[at : at + 256, None] == langs[None], weigh(counts, idf) @ centroids.T, -1)
+                best = cos.argmax(axis=1)
+                top = cos[np.arange(len(cos)), best]
+                use = (top >= 0) & (counts.sum(axis=1) > 0)
+                for key in zip(best[use].tolist(), length_class(counts)[use].tolist(), np.minimum(top[use] * BINS, BINS - 1).astype(int).tolist()):
+                    hist[key] = hist.get(key, 0) + 1
+        cols = list(zip(*[(*k, n) for k, n in hist.items()])) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["j", "k", "bin", "n"])
+
+    hist = np.zeros((len(langs), CLASSES, BINS), np.int64)
+    for r in usable.select("text", "lang").mapInArrow(around, "j long, k long, bin long, n long").groupBy("j", "k", "bin").agg(F.sum("n").alias("n")).collect():
+        hist[r["j"], r["k"], r["bin"]] = r["n"]
+    out = np.zeros((len(langs), CLASSES), np.float32)
+    for lang in set(model["langs"]):
+        out[langs == lang] = typical(hist[langs == lang])
+    return out
 
 
 def fit(docs: DataFrame) -> dict:
-    """idf over all labelled texts of docs (doc_id, text, lang), and centroids from the bounded sample."""
+    """idf and typical cosines over all labelled texts of docs (doc_id, text, lang), and centroids from the bounded sample."""
     usable = bounded_batches(docs).where("text is not null and lang is not null")
 
     def document_frequencies(batches):
@@ -87,7 +144,7 @@ def fit(docs: DataFrame) -> dict:
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
-        return {"idf": idf, "langs": [], "centroids": np.zeros((0, DIMS), np.float32), "low": np.zeros(0, np.float32)}
+        return {"idf": idf, "langs": [], "centroids": np.zeros((0, DIMS), np.float32), "typical": np.zeros((0, CLASSES), np.float32)}
     below = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 40, 20 * SAMPLE * (1 << 40) // r["count"]))])
     hashed = usable.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).where(F.col("h") < F.element_at(below, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
@@ -101,16 +158,16 @@ def fit(docs: DataFrame) -> dict:
 
     # at most SAMPLE * LANGUAGES ids: a broadcast of bounded size
     rows = usable.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(sampled, "lang string, terms binary").collect()
-    langs, cents, lows = [], [], []
+    langs, cents = [], []
     for lang in sorted({r["lang"] for r in rows}):
         x = np.stack([np.frombuffer(t, "<i4") for t in sorted(bytes(r["terms"]) for r in rows if r["lang"] == lang)])
         x = weigh(x[x.sum(axis=1) > 0], idf)
         if len(x):
-            c, low = cluster(x)
+            c = cluster(x)
             langs += [lang] * len(c)
             cents.append(c)
-            lows.append(np.full(len(c), low.min(), np.float32))
-    return {"idf": idf, "langs": langs, "centroids": np.concatenate(cents) if cents else np.zeros((0, DIMS), np.float32), "low": np.concatenate(lows) if lows else np.zeros(0, np.float32)}
+    model = {"idf": idf, "langs": langs, "centroids": np.concatenate(cents) if cents else np.zeros((0, DIMS), np.float32)}
+    return model | {"typical": typical_cosines(usable, model) if langs else np.zeros((0, CLASSES), np.float32)}
 
 
 def predict_texts(texts: list[str | None], model: dict) -> list[tuple[str, float, bool]]:
@@ -121,10 +178,12 @@ def predict_texts(texts: list[str | None], model: dict) -> list[tuple[str, float
         if not model["langs"]:
             out += [(UNKNOWN, 0.0, True)] * len(part)
             continue
-        cos = weigh(np.stack([term_counts(t or "") for t in part]), model["idf"]) @ model["centroids"].T
+        counts = np.stack([term_counts(t or "") for t in part])
+        cos = weigh(counts, model["idf"]) @ model["centroids"].T
         best = cos.argmax(axis=1)
-        for t, j, c in zip(part, best.tolist(), cos[np.arange(len(part)), best].tolist()):
-            out.append((model["langs"][j], min(1.0, max(0.0, c)), c < SLACK * float(model["low"][j])) if has_letter(t) else (UNKNOWN, 0.0, True))
+        low = SLACK * model["typical"][best, length_class(counts)]
+        for t, j, c, least in zip(part, best.tolist(), cos[np.arange(len(part)), best].tolist(), low.tolist()):
+            out.append((model["langs"][j], min(1.0, max(0.0, c)), c < least) if has_letter(t) else (UNKNOWN, 0.0, True))
     return out
 
 
