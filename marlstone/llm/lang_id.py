@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import bounded_batches, table
 
 DIMS, N = 4096, 3
-SAMPLE = 300  # labelled texts for each language to fit centroids on, at most: the smallest hashes of doc_id
+SAMPLE = 300  # labelled texts for each language to fit centroids on, at most: the distinct texts of the smallest hashes
 LANGUAGES = 200  # more learned languages than these are refused
 CENTROIDS, ROUNDS, SHARE = 4, 20, 0.02
 SLACK = 0.25  # a text is rejected below this share of the median cosine of labelled texts of its length around its centroid
@@ -138,26 +138,35 @@ def fit(docs: DataFrame) -> dict:
     total = counts.get(-1) or 0
     idf = np.log((1 + total) / (1 + np.array([counts.get(d, 0) or 0 for d in range(DIMS)]))).astype(np.float32) + 1
 
-    # The smallest hashes of each language; all but about 20 * SAMPLE rows of a language are left out
-    # before they are ranked, so no task ranks a large language whole.
-    sizes = usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    # The smallest hashes of each language's texts, each text once: null or repeated doc_ids and copies of a text
+    # neither use up the sample nor enlarge it.  All but about 20 * SAMPLE texts of a language are left out before
+    # they are ranked, so no task ranks a large language whole.
+    keyed = usable.select("lang", "text", F.xxhash64("text").alias("t"))
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("t").alias("count")).limit(LANGUAGES + 1).collect()
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return {"idf": idf, "langs": [], "centroids": np.zeros((0, DIMS), np.float32), "typical": np.zeros((0, CLASSES), np.float32)}
     below = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 40, 20 * SAMPLE * (1 << 40) // r["count"]))])
-    hashed = usable.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).where(F.col("h") < F.element_at(below, F.col("lang")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = hashed.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("doc_id").collect()
+    few = keyed.select("lang", "t", F.pmod("t", F.lit(1 << 40)).alias("h")).where(F.col("h") < F.element_at(below, F.col("lang"))).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
     spark = docs.sparkSession
-    picked = spark.createDataFrame([(r["doc_id"],) for r in ids], docs.select("doc_id").schema)
+    picked = spark.createDataFrame([(r["lang"], r["t"]) for r in few.withColumn("r", rank).where(F.col("r") <= SAMPLE).collect()], "lang string, t long")
 
     def sampled(batches):
+        seen = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([term_counts(x.as_py()).astype("<i4").tobytes() for x in b.column("text")], pa.binary())], ["lang", "terms"])
-
-    # at most SAMPLE * LANGUAGES ids: a broadcast of bounded size
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(sampled, "lang string, terms binary").collect()
+            new = []
+            for lang, t, x in zip(b.column("lang").to_pylist(), b.column("t").to_pylist(), b.column("text")):
+                if (lang, t) not in seen:
+                    seen.add((lang, t))
+                    new.append((lang, t, term_counts(x.as_py()).astype("<i4").tobytes()))
+            cols = list(zip(*new)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary()))], ["lang", "t", "terms"])
+
+    # at most SAMPLE * LANGUAGES hashes: a broadcast of bounded size; a task gives each text once
+    found = keyed.join(F.broadcast(picked), ["lang", "t"], "left_semi").select("lang", "t", "text").mapInArrow(sampled, "lang string, t long, terms binary")
+    rows = found.groupBy("lang", "t").agg(F.max("terms").alias("terms")).collect()
     langs, cents = [], []
     for lang in sorted({r["lang"] for r in rows}):
         x = np.stack([np.frombuffer(t, "<i4") for t in sorted(bytes(r["terms"]) for r in rows if r["lang"] == lang)])

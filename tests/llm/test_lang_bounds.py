@@ -60,3 +60,28 @@ def test_one_odd_labelled_text_moves_no_bound(spark, labelled, model):
     for noise in (base64_text, random_words, finnish):
         got = lang_id.predict_texts([noise(r, 400) for _ in range(50)], again)
         assert sum(x for _, _, x in got) >= 45
+
+
+def test_null_and_repeated_ids_leave_the_sample_whole(spark, monkeypatch):
+    r = random.Random(6)
+    words = {x: ["".join(r.choice(y) for _ in range(r.randint(2, 8))) for _ in range(60)] for x, y in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    text = lambda x: " ".join(r.choice(words[x]) for _ in range(30))
+    rows = [(None, text("aa"), "aa") for _ in range(400)] + [(i, text("aa"), "aa") for i in range(100)]
+    rows += [(None, text("bb"), "bb") for _ in range(330)]
+    hot = text("cc")
+    rows += [(7, text("cc"), "cc") for _ in range(900)] + [(7, hot, "cc") for _ in range(900)] + [(None, hot, "cc") for _ in range(900)]
+    sizes, cluster = [], lang_id.cluster
+    monkeypatch.setattr(lang_id, "cluster", lambda x: sizes.append(len(x)) or cluster(x))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = lang_id.fit(docs)
+    assert sizes == [lang_id.SAMPLE] * 3 and set(model["langs"]) == {"aa", "bb", "cc"}
+    assert [x[::2] for x in lang_id.predict_texts([text(x) for x in words], model)] == [(x, False) for x in words]
+    assert lang_id.keep_identified(docs, model).count() == len(rows)
+
+
+def test_copies_of_one_text_do_not_shrink_the_sample(spark, monkeypatch):
+    docs = spark.range(60_000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "CASE WHEN id % 100 > 0 THEN 'the hot text' ELSE concat('text ', translate(id, '0123456789', 'abcdefghij')) END AS text", "'en' AS lang")
+    sizes, cluster = [], lang_id.cluster
+    monkeypatch.setattr(lang_id, "cluster", lambda x: sizes.append(len(x)) or cluster(x))
+    lang_id.fit(docs)
+    assert sizes == [lang_id.SAMPLE]
