@@ -333,6 +333,11 @@ def seq_from_any(s, d):
     return EMB(s, d).select("vec_id", F.aggregate(F.col("embedding").cast("array<int>"), F.lit(0).cast("long"), lambda a, x: a + x * 100).alias("total"))
 
 
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(trunc(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT) AS total FROM embeddings")
+def seq_from_any_micros(s, d):
+    return EMB(s, d).select("vec_id", F.aggregate(F.transform(F.col("embedding").cast("array<double>"), lambda x: (x * 1000000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 # D, J: documents and transaction logs
 
 
@@ -480,6 +485,11 @@ def sort_vec(s, d):
     return _sorted(EMB(s, d).selectExpr("vec_id", "slice(CAST(embedding AS ARRAY<INT>), 1, CAST(vec_id % 5 AS INT)) AS v"), ["v", "vec_id"], "vec_id")
 
 
+@query("SELECT vec_id, row_number() OVER (ORDER BY CAST(embedding AS DOUBLE[]), vec_id) AS rn FROM embeddings")
+def sort_vec_whole(s, d):
+    return _sorted(EMB(s, d).selectExpr("vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS v"), ["v", "vec_id"], "vec_id")
+
+
 @query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_nationkey, c_custkey) AS rn FROM customer")
 def sort_struct(s, d):
     return _sorted(CUST(s, d).withColumn("r", F.struct("c_mktsegment", "c_nationkey")), ["r", "c_custkey"], "c_custkey")
