@@ -105,7 +105,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end_i
     rest.  Extra columns are ignored; an empty table gives no rows.  The number
     of groups follows the number of pieces, so a group stays bounded.
     """
-    pieces = materialise(document_pieces(docs, path, capacity, end_id, with_ids), "packing-pieces")
+    # the salt is stored with the pieces, so a task run again deals them alike
+    pieces = materialise(document_pieces(docs, path, capacity, end_id, with_ids).withColumn("salt", F.monotonically_increasing_id()), "packing-pieces")
     groups = max(1, round(pieces.count() / group))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -114,10 +115,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end_i
         placed = first_fit_decreasing(pdf["length"].tolist(), capacity)
         pdf["sequence_id"] = [(key[0] << 32) + b for b, _ in placed]
         pdf["offset"] = [o for _, o in placed]
-        return pdf.drop(columns=["g", "piece"])
+        return pdf.drop(columns=["g", "piece", "salt"])
 
-    # a long text's pieces spread over groups, so that no group grows with one text
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # a long text's pieces spread over groups, and so do rows of one doc_id or none, so that no group grows with them
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(
         run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
     )
