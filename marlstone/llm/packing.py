@@ -1,7 +1,7 @@
 """Packing token sequences: first-fit decreasing with a tournament tree, in randomised groups.
 
 Each document becomes its ids and an end id, cut into pieces of at most one
-sequence.  Documents are dealt into groups by a hash, and each group is packed
+sequence.  Pieces are dealt into groups by a hash, and each group is packed
 alone: pieces in descending length, each into the first bin with room, which a
 tournament tree over the bins' room finds in logarithmic time.
 """
@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import Encoder, Held, default_path, encoder
+from .bpe import default_path
 from .common import bounded_batches, materialise, table
+from .word_ids import text_ids
 
 LENGTH, END_ID = 4096, 2
-GROUP = 8192  # documents of a group, about
+GROUP = 8192  # pieces of a group, about
 
 
 class Bins:
@@ -60,16 +60,10 @@ def first_fit_decreasing(lengths: list[int], capacity: int = LENGTH) -> list[tup
     return out
 
 
-@lru_cache(maxsize=4)
-def _packed(path: str) -> Held:
-    cells = [struct.pack("<I", i) for i in range(1 + max(encoder(path, True).names))]
-    return Held(encoder(path, True), lambda ids: b"".join([cells[i] for i in ids]), b"".join)
-
-
 def token_bytes(text: str | None, path: str, end_id: int | None = END_ID) -> bytes:
     """Little-endian unsigned 32-bit ids of a text, then end_id."""
-    held = _packed(path)
-    return b"".join([held[p] for p in Encoder.pieces(text or "")]) + (b"" if end_id is None else struct.pack("<I", end_id))
+    (ids,) = text_ids(path).of([(text or "").encode()])
+    return ids.astype("<u4").tobytes() + (b"" if end_id is None else struct.pack("<I", end_id))
 
 
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long, doc_tokens long"
@@ -78,19 +72,21 @@ PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long, doc_tok
 def document_pieces(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of at most capacity ids for each row of docs (doc_id, text); with_ids adds the ids themselves."""
     path, id_type = path or default_path(), docs.schema["doc_id"].dataType.simpleString()
+    end = struct.pack("<I", end_id)
 
     def run(batches):
         for b in batches:
+            texts = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
             rows, ids = [], []
-            for d, x in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                raw = memoryview(token_bytes(x.as_py(), path, end_id))
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+            for k, own in enumerate(text_ids(path).of(texts)):
+                raw = memoryview(own.astype("<u4", copy=False).tobytes() + end)
+                for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4))
-                    ids.append(bytes(part))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [b.schema.field("doc_id").type, pa.int32(), *[pa.int64()] * 4]
-            out = [pa.array(c, t) for c, t in zip(cols, kinds)] + ([pa.array(ids, pa.binary())] if with_ids else [])
+                    rows.append((k, n, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4))
+                    if with_ids:
+                        ids.append(bytes(part))
+            k, *cols = list(zip(*rows)) if rows else [[]] * 6
+            out = [b.column("doc_id").take(pa.array(k, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, [pa.int32(), *[pa.int64()] * 4])]] + [pa.array(ids, pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, PIECES.format(id_type) + ", ids binary" * with_ids)
@@ -110,22 +106,28 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end_i
     groups = max(1, round(pieces.count() / group))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        placed = first_fit_decreasing(pdf["length"].tolist(), capacity)
-        pdf["sequence_id"] = [(key[0] << 32) + b for b, _ in placed]
-        pdf["offset"] = [o for _, o in placed]
-        return pdf.drop(columns=["g", "piece", "salt"])
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[("length", "descending"), ("ids_crc32", "ascending"), ("start", "ascending"), ("salt", "ascending")]))
+        placed = first_fit_decreasing(t["length"].to_pylist(), capacity)
+        at = {"sequence_id": [(key[0].as_py() << 32) + b for b, _ in placed], "offset": [o for _, o in placed]}
+        t = t.drop_columns(["g", "piece", "salt"])
+        for c, v in at.items():
+            t = t.append_column(c, pa.array(v, pa.int64()))
+        return t
 
     # a long text's pieces spread over groups, and so do rows of one doc_id or none, so that no group grows with them
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(
+    return dealt.groupBy("g").applyInArrow(
         run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
     )
 
 
 def packed_sequences(docs: DataFrame, **how) -> DataFrame:
-    """sequence_id, ids (array<int>, unpadded) and n_ids: the sequences themselves, from the pieces in order."""
+    """sequence_id, ids_bytes (little-endian unsigned 32-bit ids, unpadded) and n_ids: the sequences themselves.
+
+    Rows of docs with null or empty texts bring their end id; an empty table
+    gives no sequences; nulls, repeats and extra columns are as for pack.
+    """
     parts = pack(docs, with_ids=True, **how)
     return parts.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select(
         "sequence_id", F.expr("aggregate(parts, X'', (a, p) -> concat(a, p.ids))").alias("ids_bytes")
