@@ -104,3 +104,29 @@ def arrow_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 
 def rows_of(packed: bytes) -> pa.Table:
     return pa.ipc.open_stream(packed).read_all()
+
+
+def spark_hash(numbers: np.ndarray) -> np.ndarray:
+    """Spark's hash (Murmur3, seed 42) of 64-bit numbers, by which it deals rows and buckets."""
+    v = numbers.astype(np.uint64)
+
+    def turned(x, r):
+        return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+    h = np.full(len(v), 42, np.uint32)
+    for half in ((v & np.uint64(0xFFFFFFFF)).astype(np.uint32), (v >> np.uint64(32)).astype(np.uint32)):
+        h ^= turned(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def numbers_in_bucket(part: int, buckets: int) -> Iterator[int]:
+    """Numbers that no other partition gives, all in bucket part % buckets of Spark's bucketing."""
+    at = part << 32
+    while True:
+        tried = np.arange(at, at + 4 * buckets + 64)
+        yield from tried[spark_hash(tried) % np.int32(buckets) == part % buckets].tolist()
+        at += len(tried)

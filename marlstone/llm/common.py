@@ -39,6 +39,18 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, column: str, buckets: int) -> DataFrame:
+    """df written once to the shared folder in buckets of column, and read back: joins on it leave these rows where they are.
+
+    The catalog's entry is dropped at once; the files and what is returned stay.
+    """
+    spark, name = df.sparkSession, f"marlstone_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, what)).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 BATCH_BYTES = 8 << 20
 
 

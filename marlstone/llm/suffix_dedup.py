@@ -25,10 +25,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .blocks import arrow_blocks, dealt, rows_of, squeeze, unsqueeze
-from .common import bounded_batches, materialise, table
+from .blocks import arrow_blocks, dealt, numbers_in_bucket, rows_of, squeeze, unsqueeze
+from .common import bounded_batches, bucketed, materialise, table
 from .suffix_array import repeated_starts
 
 LENGTH, K, STRETCH = 200, 64, 17
@@ -69,63 +69,94 @@ def anchor_places(h: np.ndarray, starts: int, width: int) -> np.ndarray:
     return (m[:starts] & np.uint64(0xFFFFFF)).astype(np.int32)
 
 
-def records(raw: bytes, lens: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, span hash, first start, last start, anchor place) of each record of the texts joined in raw."""
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    n = len(raw) - LENGTH + 1
-    if n < 1:
-        return none
+def span_hashes(raw: bytes, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each lo to hi + LENGTH and of the anchor's place in them."""
+    up, down = _tables(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=total[1:])
+    h = (total[hi + LENGTH] - total[lo]) * up[lo]
+    h ^= h >> np.uint64(32)
+    h = (h + (hi - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return (h + (at - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def records(raw: bytes, lens: np.ndarray):
+    """(anchor hash, span hash, first start, last start, anchor place) of the records of the texts joined in raw, a segment at a time."""
     ends = np.cumsum(lens)
-    inside = np.zeros(len(raw) + 1, np.int32)
-    long = lens >= LENGTH
-    np.add.at(inside, (ends - lens)[long], 1)
-    np.add.at(inside, (ends - LENGTH + 1)[long], -1)
-    np.cumsum(inside, out=inside)
-    starts = np.flatnonzero(inside[:n] > 0)
-    del inside
-    if not len(starts):
-        return none
-    place, anchor = np.empty(n, np.int64), np.empty(n, np.uint64)
-    for a in range(0, n, SEGMENT):
+    firsts, lasts = (ends - lens)[lens >= LENGTH], (ends - LENGTH)[lens >= LENGTH]  # first and last start of each text
+    a, n = 0, len(raw) - LENGTH + 1
+    while a < n:
         z = min(n, a + SEGMENT)
-        h = window_hashes(raw[a : z - 1 + LENGTH], K)
-        near = anchor_places(h, z - a, LENGTH - K + 1)
-        place[a:z], anchor[a:z] = near + np.int64(a), h[near]
-    place, anchor = place[starts], anchor[starts]
-    cut = np.flatnonzero((place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
-    heads = np.concatenate(([0], cut))
-    lo, hi = starts[heads], starts[np.concatenate((cut - 1, [len(starts) - 1]))]
-    at, anchor = place[heads], anchor[heads]
-    del place, starts
-    digest = xxhash.xxh3_64_intdigest
-    spans = np.array([digest(raw[a:z], o) for a, z, o in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist())], np.uint64)
-    return anchor, spans, lo, hi, at
+        part = raw[a : z - 1 + LENGTH]
+        inside = np.zeros(z - a + 1, np.int32)
+        i, j = np.searchsorted(lasts, a), np.searchsorted(firsts, z)
+        np.add.at(inside, np.maximum(firsts[i:j] - a, 0), 1)
+        np.add.at(inside, np.minimum(lasts[i:j] + 1 - a, z - a), -1)
+        starts = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+        if len(starts):
+            h = window_hashes(part, K)
+            place = anchor_places(h, z - a, LENGTH - K + 1)[starts].astype(np.int64)
+            cut = np.flatnonzero((place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
+            heads = np.concatenate(([0], cut))
+            lo, hi = starts[heads], starts[np.concatenate((cut - 1, [len(starts) - 1]))]
+            at = place[heads]
+            if z < n and hi[-1] == z - a - 1 and (len(lo) > 1 or lo[0] > 0):  # the last one may go on: once more with the next segment
+                z = a + int(lo[-1])
+                lo, hi, at = lo[:-1], hi[:-1], at[:-1]
+            if len(lo):
+                yield h[at], span_hashes(part, lo, hi, at), lo + a, hi + a, at + a
+        a = z
+
+
+def distinct(anchor: np.ndarray, span: np.ndarray, count: np.ndarray):
+    """The distinct (anchor, span) with their counts, and each row's place among them."""
+    order = np.lexsort((span, anchor))
+    a, s = anchor[order], span[order]
+    new = np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
+    heads = np.flatnonzero(new)
+    at = np.empty(len(a), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return a[heads], s[heads], np.add.reduceat(count[order], heads) if len(heads) else count, at
+
+
+def buckets_of(parts: int) -> int:
+    return min(parts, 100_000)  # more buckets than these Spark refuses
 
 
 def text_and_records(docs: DataFrame, parts: int) -> DataFrame:
     """Blocks of docs: the other columns, texts, records, and distinct (anchor, span) dealt into parts with counts."""
 
     def run(batches):
-        for name, rest, texts in arrow_blocks(batches):
+        from pyspark import TaskContext
+
+        numbers = numbers_in_bucket(TaskContext.get().partitionId(), buckets_of(parts))  # a task writes one file
+        for (_, rest, texts), number in zip(arrow_blocks(batches), numbers):
             lens = np.array([len(t) for t in texts], np.int64)
             raw = b"".join(texts)
-            anchor, span, lo, hi, at = records(raw, lens)
-            order = np.lexsort((span, anchor))
-            a, s = anchor[order], span[order]
-            new = np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (s[1:] != s[:-1])))
-            heads = np.flatnonzero(new)
-            deal, borders = dealt(a[heads] % np.uint64(parts), parts)
-            place = np.empty(len(heads), np.int64)
-            place[deal] = np.arange(len(deal))
-            uid = np.empty(len(a), np.int64)
-            uid[order] = place[np.cumsum(new) - 1] if len(a) else 0
-            counts = np.diff(np.append(heads, len(a)))[deal]
-            cells = [rest, squeeze(lens), squeeze(raw), *[squeeze(x.astype("<u4")) for x in (lo, hi, at, uid, borders)], a[heads][deal].tobytes(), s[heads][deal].tobytes(), squeeze(counts.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), *[pa.array([c], pa.binary()) for c in cells]], BLOCK_COLUMNS)
-
-    return bounded_batches(docs).mapInArrow(run, ", ".join(f"{c} {'string' if c == 'block' else 'binary'}" for c in BLOCK_COLUMNS))
-
-
+            texts.clear()
+            own, places, n = [], [[], [], []], 0
+            uids = []
+            for anchor, span, *where in records(raw, lens):
+                a, s, c, at = distinct(anchor, span, np.ones(len(anchor), np.int64))
+                own.append((a, s, c))
+                uids.append((at + n).astype("<u4"))
+                n += len(a)
+                for x, v in zip(places, where):
+                    x.append(v.astype("<u4"))
+            a, s, c, at = distinct(*(np.concatenate(x) for x in zip(*own))) if own else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            deal, borders = dealt(a % np.uint64(parts), parts)
+            back = np.empty(len(a), np.int64)
+            back[deal] = np.arange(len(deal))
+            uid = back[at][np.concatenate(uids)] if uids else np.zeros(0, np.int64)
+            lo, hi, place = (np.concatenate(x) if x else np.zeros(0, "<u4") for x in places)
+            cells = [rest, squeeze(lens), squeeze(raw), *[squeeze(x.astype("<u4")) for x in (lo, hi, place, uid, borders)], a[deal].tobytes(), s[deal].tobytes(), squeeze(c[deal].astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in cells]], BLOCK_COLUMNS)
+
+    return bounded_batches(docs).mapInArrow(run, ", ".join(f"{c} {KEY_TYPES.get(c, 'binary')}" for c in BLOCK_COLUMNS))
+
+
+KEY_TYPES = {"block": "long", "part": "int"}
 BLOCK_COLUMNS = ["block", "rest", "lens", "raw", "lo", "hi", "at", "uid", "borders", "anchors", "spans", "counts"]
 ALONE, REPEATED, REPEATED_SHOWN, OPEN = range(4)
 
@@ -137,7 +168,7 @@ def _split(batches, parts: int, cells, names: list[str]):
             borders, slices = cells(row)
             out = [(row["block"], p, *[f(slice(borders[p], borders[p + 1])) for f in slices]) for p in range(parts) if borders[p] < borders[p + 1]]
             if out:
-                kinds = [pa.string(), pa.int32(), *[pa.binary()] * len(slices)]
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * len(slices)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "part", *names])
 
 
@@ -166,8 +197,8 @@ def span_service(blocks: DataFrame, parts: int) -> DataFrame:
         status[order] = got
         return pa.table({"block": t["block"], "part": t["part"], "status": pa.array([squeeze(x) for x in np.split(status, borders)], pa.binary())})
 
-    asked = blocks.select("block", "borders", "anchors", "spans", "counts").mapInArrow(ask, "block string, part int, anchors binary, spans binary, counts binary")
-    return asked.groupBy("part").applyInArrow(answer, "block string, part int, status binary")
+    asked = blocks.select("block", "borders", "anchors", "spans", "counts").mapInArrow(ask, "block long, part int, anchors binary, spans binary, counts binary")
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, status binary")
 
 
 def stretches(raw: bytes, lo: int, hi: int, at: int):
@@ -205,10 +236,11 @@ def open_blocks(blocks: DataFrame, statuses: DataFrame, parts: int) -> DataFrame
                 cores[order].tobytes(), bytes(len(x) for g in got for x in g[2:]), b"".join(x for g in got for x in g[2:]),
             )):
                 out[c].append(v)
-        return pa.table({c: pa.array(v, pa.string() if c == "block" else pa.binary()) for c, v in out.items()})
+        return pa.table({c: pa.array(v, {"block": pa.int64()}.get(c, pa.binary())) for c, v in out.items()})
 
     left = blocks.select("block", "raw", "lo", "hi", "at", "uid", "borders").groupBy("block")
-    return left.cogroup(statuses.groupBy("block")).applyInArrow(run, ", ".join(f"`{c}` {'string' if c == 'block' else 'binary'}" for c in names))
+    schema = ", ".join(f"`{c}` {KEY_TYPES.get(c, 'binary')}" for c in names)
+    return left.cogroup(statuses.groupBy("block")).applyInArrow(run, schema)
 
 
 def sort_stretches(groups: list[list[tuple[bytes, bytes]]]) -> list[list[int]]:
@@ -299,16 +331,19 @@ def stretch_service(opened: DataFrame, parts: int) -> DataFrame:
                     masks[members] |= np.uint32(mask)
         return pa.table({"block": t["block"], "part": t["part"], "masks": pa.array([squeeze(x) for x in np.split(masks, borders)], pa.binary())})
 
-    asked = opened.select("block", "borders", "cores", "lengths", "sides").mapInArrow(ask, "block string, part int, cores binary, lengths binary, sides binary")
-    return asked.groupBy("part").applyInArrow(answer, "block string, part int, masks binary")
+    asked = opened.select("block", "borders", "cores", "lengths", "sides").mapInArrow(ask, "block long, part int, cores binary, lengths binary, sides binary")
+    return asked.groupBy("part").applyInArrow(answer, "block long, part int, masks binary")
 
 
-def _removed(row: dict, size: int, replies: pa.Table) -> np.ndarray:
-    """A mask of the block's removed bytes."""
+def _removed(size: int, replies: pa.Table) -> np.ndarray:
+    """A mask of the block's removed bytes, from what open_blocks settled (the row without a part) and the masks of the parts."""
+    rows = replies.to_pylist()
+    (row,) = [r for r in rows if r["part"] is None]
     first, borders = unsqueeze(row["first"], "<u4").astype(np.int64), unsqueeze(row["borders"], "<u4")
     masks = np.zeros(len(first), "<u4")
-    for p, m in zip(replies["part"].to_pylist(), replies["masks"].to_pylist()):
-        masks[borders[p] : borders[p + 1]] = unsqueeze(m, "<u4")
+    for r in rows:
+        if r["part"] is not None:
+            masks[borders[r["part"]] : borders[r["part"] + 1]] = unsqueeze(r["masks"], "<u4")
     change = np.zeros(size + 1, np.int32)
     np.add.at(change, unsqueeze(row["from"], "<u4").astype(np.int64), 1)
     np.add.at(change, unsqueeze(row["to"], "<u4").astype(np.int64), -1)
@@ -322,23 +357,23 @@ def _removed(row: dict, size: int, replies: pa.Table) -> np.ndarray:
 def _per_document(docs: DataFrame, schema: T.StructType, emit) -> DataFrame:
     """Runs the three steps; emit(rows, text bytes, removed mask, starts, ends) gives each block's result table."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialise(text_and_records(docs, parts), "suffix-blocks")
+    blocks = bucketed(text_and_records(docs, parts), "suffix-blocks", "block", buckets_of(parts))
     opened = materialise(open_blocks(blocks, span_service(blocks, parts), parts), "suffix-open")
     masks = stretch_service(opened, parts)
     to_arrow = [f.name for f in schema.fields]
 
     def run(b: pa.Table, r: pa.Table) -> pa.Table:
         out = []
-        # a block's text, what is settled and its masks have come together; there is one text row
-        rows = b.to_pylist()
-        for row in rows:
+        for row in b.to_pylist():  # one: a block's text meets what is settled and its masks
             lens, raw = unsqueeze(row["lens"], np.int64), unsqueeze(row["raw"])
             ends = np.cumsum(lens)
-            out.append(emit(rows_of(row["rest"]), raw, _removed(row, len(raw), r), ends - lens, ends).select(to_arrow))
+            out.append(emit(rows_of(row["rest"]), raw, _removed(len(raw), r), ends - lens, ends).select(to_arrow))
         return pa.concat_tables(out)
 
-    whole = blocks.select("block", "rest", "lens", "raw").join(opened.select("block", "from", "to", "first", "borders"), "block")
-    return whole.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(run, schema)
+    found = opened.select("block", F.lit(None).cast("int").alias("part"), "from", "to", "first", "borders", F.lit(None).cast("binary").alias("masks")).unionByName(masks, allowMissingColumns=True)
+    # texts stay in the files of their buckets; only what was found out about them moves
+    left = blocks.select("block", "rest", "lens", "raw").groupBy("block")
+    return left.cogroup(found.groupBy("block")).applyInArrow(run, schema)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
@@ -391,8 +426,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         null = rows["__null"].to_pylist()
         return rows.append_column("text", pa.array([None if n else t for t, n in zip(texts, null)], pa.string()))
 
-    from pyspark.sql import functions as F
-
     return _per_document(docs.withColumn("__null", F.col("text").isNull()), docs.schema, emit)
 
 
