@@ -3,10 +3,12 @@
 Turns are collected as structs, sorted, adjacent turns of one role are merged
 by array functions, and each conversation becomes one string::
 
-    <|role|>first text<|+|>second text of the same role<|end|>\\n ...
+    <|role|>first text<|>+second text of the same role<|>end\\n ...
 
-Inside texts ``\\`` becomes ``\\b`` and ``<|`` becomes ``\\l`` (in roles also ``|>``
-becomes ``\\r``), so no text can forge a mark, and reading back is exact.
+Inside texts ``\\`` becomes ``\\b`` and ``<|`` becomes ``\\l``; inside roles ``\\``,
+``<`` and ``>`` become ``\\b``, ``\\l`` and ``\\r``.  So ``<|>`` opens a mark wherever it
+stands: no text holds ``<|``, and no role can bring it about with the bars beside it.
+Reading back is exact.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 
-NEXT, END = "<|+|>", "<|end|>\n"
+NEXT, END = "<|>+", "<|>end\n"
 
 
 def _escaped(c):
@@ -26,6 +28,14 @@ def _plain(c):
     return F.replace(F.replace(c, F.lit("\\l"), F.lit("<|")), F.lit("\\b"), F.lit("\\"))
 
 
+def _escaped_role(c):
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l")), F.lit(">"), F.lit("\\r"))
+
+
+def _plain_role(c):
+    return F.replace(F.replace(F.replace(c, F.lit("\\r"), F.lit(">")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id and formatted, one row for each conv_id of turns (conv_id, turn, role, text).
 
@@ -58,22 +68,21 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
 
     def block(run):
-        role = F.replace(_escaped(run["role"]), F.lit("|>"), F.lit("\\r"))
-        return F.concat(F.lit("<|"), role, F.lit("|>"), F.array_join(F.transform(run["texts"], _escaped), NEXT), F.lit(END))
+        return F.concat(F.lit("<|"), _escaped_role(run["role"]), F.lit("|>"), F.array_join(F.transform(run["texts"], _escaped), NEXT), F.lit(END))
 
     return runs.select("conv_id", F.array_join(F.transform("runs", block), "").alias("formatted"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, formatted and turns (array of role, text, in_loss), parsed from the formatted string alone."""
-    blocks = F.expr(r"slice(split(formatted, '<\\|end\\|>\\n', -1), 1, size(split(formatted, '<\\|end\\|>\\n', -1)) - 1)")
+    blocks = F.expr(r"slice(split(formatted, '<\\|>end\\n', -1), 1, size(split(formatted, '<\\|>end\\n', -1)) - 1)")
 
     def turns(b):
         head = F.substring_index(b, "|>", 1)
-        role = _plain(F.replace(F.substr(head, F.lit(3)), F.lit("\\r"), F.lit("|>")))
+        role = _plain_role(F.substr(head, F.lit(3)))
         body = F.substr(b, F.length(head) + F.lit(3))
         return F.transform(
-            F.split(body, r"<\|\+\|>", -1),
+            F.split(body, r"<\|>\+", -1),
             lambda t: F.struct(role.alias("role"), _plain(t).alias("text"), (role == "assistant").alias("in_loss")),
         )
 
@@ -110,13 +119,13 @@ WITH said AS (
 ), sized AS (
   SELECT *, (before IS NULL OR before <> role) AS opens,
          length(replace(replace(text, '\', '\b'), '<|', '\l')) AS shown,
-         length(replace(replace(replace(role, '\', '\b'), '<|', '\l'), '|>', '\r')) AS headed
+         length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\r')) AS headed
   FROM marked
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(shown + CASE WHEN opens THEN headed + 4 + 8 ELSE 5 END) AS BIGINT) AS formatted_chars
+       CAST(sum(shown + CASE WHEN opens THEN headed + 4 + 7 ELSE 4 END) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """

@@ -18,7 +18,7 @@ def test_queries_give_the_rows_of_their_sql(spark, sf, name):
     assert rows(registry.queries()[name](spark, sf).toPandas()) == rows(c.execute(registry.oracle_sql()[name]).df())
 
 
-NASTY = ["", "<|end|>\n", "\\", "\\l", "\\b<|", "<|user|>", "<", "|>", "<|+|>", "a<", "|b", "$1 \\1", "é😀", "</s>[INST]"]
+NASTY = ["", "<|end|>\n", "<|>end\n", "<|>+", "+", "end\n", ">", "\\r", "\\", "\\l", "\\b<|", "<|user|>", "<", "|>", "<|+|>", "a<", "|b", "$1 \\1", "é😀", "</s>[INST]"]
 
 
 def test_formatting_reads_back(spark):
@@ -26,7 +26,7 @@ def test_formatting_reads_back(spark):
     data = []
     for conv in range(60):
         for turn in range(r.randint(1, 8)):
-            data.append((conv, turn, r.choice(["user", "assistant", "assistant", "we|>ird<|\\", None]), "".join(r.choice(NASTY) for _ in range(r.randint(0, 4))) if r.random() < 0.9 else None, "x"))
+            data.append((conv, turn, r.choice(["user", "assistant", "assistant", "we|>ird<|\\", None, ">", ">user", ">x", "|", "<", "x<", "end", "+", "|>", "\\r", "\\b"]), "".join(r.choice(NASTY) for _ in range(r.randint(0, 4))) if r.random() < 0.9 else None, "x"))
     data += [(70, None, "user", "first", "x"), (70, 1, "user", "second", "x"), (70, 1, "user", "second", "x"), (None, 0, "assistant", "no id", "x")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
@@ -35,7 +35,7 @@ def test_formatting_reads_back(spark):
         assert [(t.role, t.text) for t in got[conv].turns] == [(w[2], w[3]) for w in want]
         assert all(t.in_loss == (t.role == "assistant") for t in got[conv].turns)
         runs = 1 + sum(a[2] != b[2] for a, b in zip(want, want[1:]))
-        assert got[conv].formatted.count("<|end|>\n") == runs
+        assert got[conv].formatted.count("<|>end\n") == runs
 
 
 def test_no_conversations(spark):
