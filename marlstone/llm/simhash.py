@@ -11,6 +11,7 @@ shard of equal bits.  A shard's tree is built where its rows are.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -89,7 +90,7 @@ class BKTree:
                     todo.append(below)
 
 
-def shard_links(fps: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]:
+def shard_links(fps: list[int], ids: Sequence, radius: int) -> list[tuple]:
     """A spanning forest of the links within one shard: no two texts that link are parted, no clique is spelt out.
 
     A search leaves out subtrees whose fingerprints are all in the searcher's
@@ -164,27 +165,29 @@ def link_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     def run(batches):
         held = None  # the rows of the shard that may go on in the next batch
         for b in batches:
-            new = [np.asarray(b.column(c).to_numpy(zero_copy_only=False)) for c in ("shard", "bits", "fp", "vid")]
-            cols = [np.concatenate(x) for x in zip(held, new)] if held else new
-            if not len(cols[0]):
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            if not t.num_rows:
                 continue
-            cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            yield from links(cols, cut)
-            last = cut[-1] if len(cut) else 0
-            held = [x[last:] for x in cols]
-        if held:
-            yield from links(held, np.array([len(held[0])]))
-
-    def links(cols, cut):
-        lo, out = np.concatenate(([0], cut[:-1])) if len(cut) else np.array([], int), []
-        for a, z in zip(lo, cut):
+            shard, bits = (t[c].to_numpy() for c in ("shard", "bits"))
+            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (bits[1:] != bits[:-1])) + 1
+            yield from links(t, cut)
+            held = t.slice(cut[-1] if len(cut) else 0)
+        if held is not None:
+            yield from links(held, np.array([held.num_rows]))
+
+    def links(t, cut):
+        fps, out = t["fp"].to_numpy().view(np.uint64), []
+        for a, z in zip([0, *cut[:-1].tolist()], cut.tolist()):
             if z - a > 1:
-                out += shard_links(cols[2][a:z].view(np.uint64).tolist(), cols[3][a:z].tolist(), radius)
+                out += shard_links(fps[a:z].tolist(), range(a, z), radius)
         if out:
             ab = np.array(out, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+            vid = t["vid"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([vid.take(pa.array(ab[:, 0])), vid.take(pa.array(ab[:, 1]))], ["a", "b"])
 
-    linked = components(dealt.mapInArrow(run, "a long, b long"), "simhash-links")
+    id_type = fps.schema["doc_id"].dataType.simpleString()
+    linked = components(dealt.mapInArrow(run, f"a {id_type}, b {id_type}"), "simhash-links")
     return vertex.join(linked.withColumnRenamed("node", "vid"), "vid", "left").select("fp", F.coalesce("root", "vid").alias("component_id"))
 
 

@@ -9,6 +9,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from marlstone.llm import avi, bpe, exact_dedup, lang_id, lm_score, packing, simhash, suffix_dedup
 from marlstone.llm.common import table
@@ -403,6 +404,28 @@ def test_a_text_that_a_third_of_the_rows_share(spark):
     assert exact_dedup.keep_first_seen(df, exact_dedup.new_index(spark)).count() == 2001
 
 
+def test_compaction_leaves_each_digest_once(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/doubled")
+    for ids in ((1, 2, 3), (3, 4)):
+        rows_ = spark.createDataFrame([(f"{i:064x}", i, 1) for i in ids], "text_sha256 string, keep_id long, group_size long")
+        index._write(rows_.withColumn("load", F.lit(f"load{len(ids)}")))  # as two loaders would that do not see each other
+    assert index.read().count() == 5
+    small = index.compacted(f"file://{tmp_path}/compact")
+    assert sorted((r.keep_id, r.load) for r in small.read().collect()) == [(1, "load3"), (2, "load3"), (3, "load2"), (4, "load2")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([("b", "same words here"), ("a", "same words here"), (None, "same words here"), ("c", "another text"), ("c", "another text")], "doc_id string, text string")
+    got = exact_dedup.deduplicate(df, exact_dedup.new_index(spark, id_type="string")).collect()
+    assert sorted((r.doc_id or "", r.keep_id, r.kept) for r in got) == [("", "b", False), ("a", "b", False), ("b", "b", True), ("c", "c", True), ("c", "c", True)]
+    assert sorted(r.doc_id for r in exact_dedup.keep_first_seen(df, exact_dedup.new_index(spark, id_type="string")).collect()) == ["b", "c"]
+    near = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), ("c", "five six seven eight"), (None, "five six seven eight")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.component_id) for r in simhash.near_duplicates(near).collect()) == [("", "c"), ("a", "a"), ("b", "a"), ("c", "c")]
+    linked = spark.createDataFrame([("x", 0), ("y", 7), ("w", 255), ("v", -1)], "doc_id string, fp long")
+    assert sorted((r.fp, r.component_id) for r in simhash.link_components(linked).collect()) == [(-1, "v"), (0, "w"), (7, "w"), (255, "w")]
+
+
 def test_rows_that_stay(edge, spark):
     kept = exact_dedup.keep_first_seen(edge, exact_dedup.new_index(spark))
     assert kept.columns == edge.columns
