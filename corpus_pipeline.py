@@ -23,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, the one with the largest doc_id."""
-    return keep_first_seen(docs, new_index(spark))
+    return keep_first_seen(docs, new_index(spark, id_type=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
