@@ -4,11 +4,13 @@ Maximum-likelihood estimates of two orders and a uniform floor are mixed with
 weights that depend on how often the context was seen (buckets by powers of
 two).  The weights are learned by expectation-maximisation on the counts of a
 held-out tenth of the training documents, whose own counts are deleted from
-the estimates meanwhile.
+the estimates meanwhile; the estimates themselves are made alike there and in
+scoring.
 
 Counts cover the whole corpus.  Blocks of documents ask for the counts of their
 distinct words and word pairs; each partition of keys adds up what all blocks
-report and answers each block.
+report and answers each block.  The blocks themselves stay in the files of their
+buckets: only keys, counts and answers move.
 """
 
 from __future__ import annotations
@@ -17,25 +19,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .blocks import dealt, squeeze, text_blocks, thick, thin, unsqueeze
-from .common import bounded_batches, materialise, table
+from .blocks import arrow_blocks, buckets_of, dealt, numbers_in_bucket, rows_of, squeeze, thick, thin, unsqueeze
+from .common import bounded_batches, bucketed, materialise, table
 
 ALPHA = 0.1  # of the smoothed unigram
 FOLDS, TEST_FOLD, EM_FOLD = 10, 0, 1
-PAIR_BYTES = 7  # of a word pair's key; a word's has all 8
+PAIR_BYTES = 6  # of a word pair's key inside its partition; a word's has all 8
 BLOCK = 8 << 20
 EM_ROUNDS = 40
 STEPS = 4  # of an octave, in the grid that EM reads
 
 
-def _mix(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A 56-bit key of a word pair."""
+def _mix(v: np.ndarray, w: np.ndarray, n_parts: int) -> np.ndarray:
+    """A key of a word pair: of as many bits as leave PAIR_BYTES when it is divided by the number of partitions."""
     k = v * np.uint64(0x9E3779B97F4A7C15) + ((w << np.uint64(31)) | (w >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
     k ^= k >> np.uint64(32)
     k *= np.uint64(0xD6E8FEB86659FD93)
-    return k >> np.uint64(8)
+    return k >> np.uint64(max(0, 64 - 8 * PAIR_BYTES - (n_parts.bit_length() - 1)))
 
 
 def _keys(block, n_parts: int):
@@ -44,39 +46,49 @@ def _keys(block, n_parts: int):
     ids = unsqueeze(block["ids"], "<u4").astype(np.int64)
     before = np.concatenate(([0], ids[:-1]))  # word 0 is the end, which also stands before a text
     pairs, at = np.unique(before * len(words) + ids, return_inverse=True)
-    keys = _mix(words[pairs // len(words)], words[pairs % len(words)])
+    keys = _mix(words[pairs // len(words)], words[pairs % len(words)], n_parts)
     w_parts, p_parts = words % np.uint64(n_parts), keys % np.uint64(n_parts)
     return words, ids, before, keys, at, dealt(w_parts, n_parts), dealt(p_parts, n_parts)
 
 
-def token_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks: doc ids, folds, lengths; each token's number in the block; the block's distinct words as hashes."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(-1)).cast("int")
+BLOCK_SCHEMA = "block long, em boolean, rest binary, folds binary, lens binary, ids binary, words binary"
+
+
+def token_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Blocks: doc ids, folds, lengths; each token's number in the block; the block's distinct words as hashes.
+
+    A block that has held-out texts brings them once more by themselves (em), to
+    be asked about and not counted.
+    """
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS, F.lit(-1)).cast("byte")
 
     def run(batches):
-        for name, rest, texts in text_blocks(batches, limit=BLOCK):
+        from pyspark import TaskContext
+
+        numbers = numbers_in_bucket(TaskContext.get().partitionId(), buckets)  # a task writes one file
+        for _, rest, texts in arrow_blocks(batches, limit=BLOCK):
             seen, ids, lens = {b"": 0}, [], []
             for t in texts:
                 toks = t.lower().split()  # ASCII letters and white space only, on bytes
                 ids += [seen.setdefault(w, len(seen)) for w in toks]
                 ids.append(0)
                 lens.append(len(toks) + 1)
+            texts.clear()
             words = np.array([xxhash.xxh64_intdigest(w) for w in seen], "<u8")
-            ids, lens, folds = np.array(ids, "<u4"), np.array(lens), np.array(rest["fold"])
-            rows = [(name, False, rest["doc_id"], rest["fold"], lens, squeeze(ids), squeeze(words))]
-            if (folds == EM_FOLD).any():  # the held-out texts once more by themselves, to be asked about and not counted
+            del seen
+            ids, lens, folds = np.array(ids, "<u4"), np.array(lens, np.int64), rows_of(rest)["fold"].to_numpy()
+            out = [(next(numbers), False, rest, squeeze(folds), squeeze(lens), squeeze(ids), squeeze(words))]
+            if (folds == EM_FOLD).any():
                 used, own = np.unique(np.concatenate(([0], ids[np.repeat(folds == EM_FOLD, lens)])), return_inverse=True)
-                rows.append((name + "#em", True, [], [], [], squeeze(own[1:].astype("<u4")), squeeze(words[used])))
-            kinds = [pa.string(), pa.bool_(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "em", "doc_ids", "folds", "lens", "ids", "words"])
+                out.append((next(numbers), True, b"", squeeze(b""), squeeze(b""), squeeze(own[1:].astype("<u4")), squeeze(words[used])))
+            kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "em", "rest", "folds", "lens", "ids", "words"])
 
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    return bounded_batches(docs).select("doc_id", fold.alias("fold"), "text").mapInArrow(run, f"block string, em boolean, doc_ids array<{id_type}>, folds array<int>, lens array<bigint>, ids binary, words binary")
+    return bounded_batches(docs).select("doc_id", fold.alias("fold"), "text").mapInArrow(run, BLOCK_SCHEMA)
 
 
 def count_service(blocks: DataFrame, parts: int) -> DataFrame:
-    """(block, part, ...): for each block and partition of keys the corpus counts of what the block has there.
+    """(block, em, part, ...): for each block and partition of keys the corpus counts of what the block has there.
 
     Per key: its count in training, and in the fold that EM holds out.  The rows
     with a null block hold the partition's totals: words known, tokens, tokens held out.
@@ -86,7 +98,7 @@ def count_service(blocks: DataFrame, parts: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 words, ids, _, keys, at, (wo, wb), (po, pb) = _keys(row, parts)
-                folds = np.repeat(np.array(row["folds"], np.int64), np.array(row["lens"], np.int64)) if not row["em"] else np.full(len(ids), -1)
+                folds = np.repeat(unsqueeze(row["folds"], np.int8), unsqueeze(row["lens"], np.int64)) if not row["em"] else np.full(len(ids), -1)
                 train, em = (folds >= 0) & (folds != TEST_FOLD), folds == EM_FOLD
                 cw = [np.bincount(ids[m], minlength=len(words)).astype("<u4")[wo] for m in (train, em)]
                 cp = [np.bincount(at[m], minlength=len(keys)).astype("<u4")[po] for m in (train, em)]
@@ -95,39 +107,38 @@ def count_service(blocks: DataFrame, parts: int) -> DataFrame:
                 for p in range(parts):
                     w, k = slice(wb[p], wb[p + 1]), slice(pb[p], pb[p + 1])
                     if w.start < w.stop or k.start < k.stop:
-                        out.append((row["block"], p, words[w].tobytes(), squeeze(np.concatenate([c[w] for c in cw])), thin(keys[k], PAIR_BYTES), squeeze(np.concatenate([c[k] for c in cp]))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), pa.int32(), *[pa.binary()] * 4])], ["block", "part", "w", "wc", "k", "kc"])
+                        out.append((row["block"], row["em"], p, words[w].tobytes(), squeeze(np.concatenate([c[w] for c in cw])), thin(keys[k], PAIR_BYTES), squeeze(np.concatenate([c[k] for c in cp]))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 4])], ["block", "em", "part", "w", "wc", "k", "kc"])
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"block": list(pdf["block"]) + [None], "part": [int(pdf["part"].iloc[0])] * (len(pdf) + 1)}
+    def answer(t: pa.Table) -> pa.Table:
+        n = t.num_rows
+        out = {"block": pa.array([*t["block"].to_pylist(), None], pa.int64()), "em": pa.array([*t["em"].to_pylist(), None], pa.bool_()), "part": pa.array([t["part"][0].as_py()] * (n + 1), pa.int32())}
         totals = [0, 0, 0]
         for col, cnt, read in (("w", "wc", lambda b: np.frombuffer(b, "<u8")), ("k", "kc", lambda b: thick(b, PAIR_BYTES))):
-            keys = [read(b) for b in pdf[col]]
-            both = [unsqueeze(b, "<u4").reshape(2, -1) for b in pdf[cnt]]
+            keys = [read(b.as_py()) for b in t[col]]
+            both = [unsqueeze(b.as_py(), "<u4").reshape(2, -1) for b in t[cnt]]
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
             every = np.concatenate(both, axis=1).astype(np.float64)
             full, em = np.bincount(at, every[0]), np.bincount(at, every[1])
             if col == "w":
                 totals = [int((full > 0).sum()), int(full.sum()), int(em.sum())]
             borders = np.cumsum([len(k) for k in keys])[:-1]
-            out[col] = [squeeze(np.stack([full[x], em[x]]).astype("<u8")) for x in np.split(at, borders)] + [b""]
-        rest = pd.DataFrame({"known": 0, "tokens": 0, "em_tokens": 0}, index=range(len(pdf) + 1)).astype("int64")
-        rest.iloc[-1] = totals
-        return pd.DataFrame(out).join(rest)
+            out[col] = pa.array([squeeze(np.stack([full[x], em[x]]).astype("<u8")) for x in np.split(at, borders)] + [b""], pa.binary())
+        return pa.table(out | {c: pa.array([0] * n + [v], pa.int64()) for c, v in zip(("known", "tokens", "em_tokens"), totals)})
 
-    asked = blocks.select("block", "em", "folds", "lens", "ids", "words").mapInArrow(ask, "block string, part int, w binary, wc binary, k binary, kc binary")
-    return asked.groupBy("part").applyInPandas(answer, "block string, part int, w binary, k binary, known bigint, tokens bigint, em_tokens bigint")
+    asked = blocks.select("block", "em", "folds", "lens", "ids", "words").mapInArrow(ask, "block long, em boolean, part int, w binary, wc binary, k binary, kc binary")
+    return asked.groupBy("part").applyInArrow(answer, "block long, em boolean, part int, w binary, k binary, known long, tokens long, em_tokens long")
 
 
-def _answered(block, replies: pd.DataFrame, parts: int):
+def _answered(block: dict, replies: pa.Table, parts: int):
     """The corpus counts (full and held out) of a block's words and pairs, in the block's own order."""
     words, ids, before, keys, at, (wo, wb), (po, pb) = _keys(block, parts)
     out = []
     for col, order, borders in (("w", wo, wb), ("k", po, pb)):
         got = np.zeros((2, len(order)), np.int64)
-        for p, b in zip(replies["part"], replies[col]):
+        for p, b in zip(replies["part"].to_pylist(), replies[col]):
             if borders[p] < borders[p + 1]:
-                got[:, borders[p] : borders[p + 1]] = unsqueeze(b, "<u8").reshape(2, -1)
+                got[:, borders[p] : borders[p + 1]] = unsqueeze(b.as_py(), "<u8").reshape(2, -1)
         back = np.empty_like(got)
         back[:, order] = got
         out.append(back)
@@ -142,7 +153,7 @@ def bucket(c: np.ndarray) -> np.ndarray:
 def learn_weights(grid: pd.DataFrame, floor: float, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Weights (pair, word, uniform) for each of 64 buckets from rows (bucket, q2, q1, n).
 
-    q2 and q1 are -1 for an estimate of zero, else minus STEPS times its log2.
+    q2 and q1 are minus STEPS times the log2 of the estimates; q2 is -1 for a pair not seen.
     A bucket without held-out counts takes the weights of the nearest lower one
     with some, else of the nearest higher; without any, even weights.
     """
@@ -173,54 +184,60 @@ def score_documents(docs: DataFrame) -> DataFrame:
     table gives no rows.  score is the log10 probability under the mixture.
     """
     spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a task answers several parts, one after the other
-    blocks = materialise(token_blocks(docs), "lm-blocks")
+    buckets = buckets_of(parts // 4)
+    blocks = bucketed(token_blocks(docs, buckets), "lm-blocks", "block", buckets)
     replies = materialise(count_service(blocks, parts), "lm-replies")
     known, tokens, em_tokens = (int(x or 0) for x in replies.where("block is null").agg(F.sum("known"), F.sum("tokens"), F.sum("em_tokens")).first())
-    answers = replies.where("block is not null").select("block", "part", "w", "k")
+    answers = replies.where("block is not null").select("block", "em", "part", "w", "k")
     floor = 1.0 / (known + 1)
 
-    def held_out_grid(b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        cells = []
-        for row in b.to_dict("records"):
+    def smooth(counts: np.ndarray, total: int) -> np.ndarray:
+        return (counts + ALPHA) / (total + ALPHA * (known + 1))
+
+    def held_out_grid(b: pa.Table, r: pa.Table) -> pa.Table:
+        cells = {}
+        for row in b.to_pylist():
             ids, before, at, w, k = _answered(row, r, parts)
             w, k = w[0] - w[1], k[0] - k[1]
             context = w[before]
             with np.errstate(divide="ignore", invalid="ignore"):
                 q2 = np.where(k[at] > 0, np.round(-STEPS * np.log2(k[at] / context)), -1)
-                q1 = np.where(w[ids] > 0, np.round(-STEPS * np.log2(w[ids] / max(1, tokens - em_tokens))), -1)
-            cells.append(pd.DataFrame({"bucket": bucket(context), "q2": q2.astype(np.int64), "q1": q1.astype(np.int64)}))
-        return pd.concat(cells).value_counts().rename("n").reset_index()
+            q1 = np.round(-STEPS * np.log2(smooth(w, tokens - em_tokens)))[ids]
+            found, n = np.unique(np.stack([bucket(context), q2.astype(np.int64), q1.astype(np.int64)]), axis=1, return_counts=True)
+            for key, x in zip(zip(*found.tolist()), n.tolist()):
+                cells[key] = cells.get(key, 0) + x
+        cols = list(zip(*[(*key, n) for key, n in cells.items()])) or [[]] * 4
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("bucket", "q2", "q1", "n"), cols)})
 
     grid = (
-        blocks.where("em").select("block", "ids", "words").groupBy("block").cogroup(answers.where("endswith(block, '#em')").groupBy("block"))
-        .applyInPandas(lambda b, r: held_out_grid(b, r) if len(b) else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("bucket", "q2", "q1", "n")}), "bucket long, q2 long, q1 long, n long")
+        blocks.where("em").select("block", "ids", "words").groupBy("block").cogroup(answers.where("em").drop("em").groupBy("block"))
+        .applyInArrow(held_out_grid, "bucket long, q2 long, q1 long, n long")
         .groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()  # cells of a grid of fixed size, not of the corpus
     )
     weights = learn_weights(grid, floor)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
 
-    def score(b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for row in b.to_dict("records"):
+    def score(b: pa.Table, r: pa.Table) -> pa.Table:
+        out = []
+        for row in b.to_pylist():
             ids, before, at, w, k = _answered(row, r, parts)
             w, k = w[0], k[0]
-            smooth = (w + ALPHA) / (tokens + ALPHA * (known + 1))
+            word = smooth(w, tokens)
             context = w[before]
             lam = weights[bucket(context)]
-            p = lam[:, 0] * (k[at] / np.maximum(context, 1)) + lam[:, 1] * smooth[ids] + lam[:, 2] * floor
-            starts = np.concatenate(([0], np.cumsum(row["lens"])[:-1]))
-            folds = np.array(row["folds"])
-            rows.append(pd.DataFrame({
-                "doc_id": pd.Series(list(row["doc_ids"]), dtype=object), "held_out": folds == TEST_FOLD, "n_tokens": row["lens"],
-                "n_known": np.add.reduceat((w > 0)[ids].astype(np.int64), starts), "train_tokens": tokens,
-                "base_score": np.add.reduceat(np.log10(smooth)[ids], starts), "score": np.add.reduceat(np.log10(p), starts),
+            p = lam[:, 0] * (k[at] / np.maximum(context, 1)) + lam[:, 1] * word[ids] + lam[:, 2] * floor
+            lens = unsqueeze(row["lens"], np.int64)
+            starts = np.cumsum(lens) - lens
+            out.append(pa.table({
+                "doc_id": rows_of(row["rest"])["doc_id"], "held_out": unsqueeze(row["folds"], np.int8) == TEST_FOLD, "n_tokens": lens,
+                "n_known": np.add.reduceat((w > 0)[ids].astype(np.int64), starts), "train_tokens": np.full(len(lens), tokens, np.int64),
+                "base_score": np.add.reduceat(np.log10(word)[ids], starts), "score": np.add.reduceat(np.log10(p), starts),
             }))
-        return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+        return pa.concat_tables(out)
 
-    return blocks.where("not em").drop("em").groupBy("block").cogroup(answers.where("not endswith(block, '#em')").groupBy("block")).applyInPandas(
-        score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    whole = blocks.where("not em").select("block", "rest", "folds", "lens", "ids", "words").groupBy("block")
+    return whole.cogroup(answers.where("not em").drop("em").groupBy("block")).applyInArrow(score, schema)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

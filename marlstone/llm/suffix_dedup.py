@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .blocks import arrow_blocks, dealt, numbers_in_bucket, rows_of, squeeze, unsqueeze
+from .blocks import arrow_blocks, buckets_of, dealt, numbers_in_bucket, rows_of, squeeze, unsqueeze
 from .common import bounded_batches, bucketed, materialise, table
 from .suffix_array import repeated_starts
 
@@ -120,10 +120,6 @@ def distinct(anchor: np.ndarray, span: np.ndarray, count: np.ndarray):
     return a[heads], s[heads], np.add.reduceat(count[order], heads) if len(heads) else count, at
 
 
-def buckets_of(parts: int) -> int:
-    return min(parts, 100_000)  # more buckets than these Spark refuses
-
-
 def text_and_records(docs: DataFrame, parts: int) -> DataFrame:
     """Blocks of docs: the other columns, texts, records, and distinct (anchor, span) dealt into parts with counts."""
 

@@ -66,7 +66,7 @@ def test_lm_scores_follow_the_mixture(spark):
             for a, b in zip(s, s[1:]):
                 ca, cb, cab = uni[a] - uni_em[a], uni[b] - uni_em[b], pair[a, b] - pair_em[a, b]
                 q = lambda x: round(-lm_score.STEPS * math.log2(x)) if x > 0 else -1
-                events[bucket(ca), q(cab / ca) if ca else -1, q(cb / (n - ne))] += 1
+                events[bucket(ca), q(cab / ca) if ca else -1, q((cb + 0.1) / (n - ne + 0.1 * (v + 1)))] += 1
     import pandas as pd
 
     grid = pd.DataFrame([(*k, c) for k, c in events.items()], columns=["bucket", "q2", "q1", "n"])
@@ -79,6 +79,14 @@ def test_lm_scores_follow_the_mixture(spark):
         assert abs(total - got[i]) < 1e-6
 
 
+def test_lm_keeps_large_and_textual_ids(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "one two"), (None, "two"), (big + 1, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in lm_score.score_documents(docs).collect()} == {big, None, big + 1}
+    got = lm_score.score_documents(docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))).collect()
+    assert {r.doc_id for r in got} == {f"d{big}", None, f"d{big + 1}"}
+
+
 def test_em_raises_held_out_likelihood_over_even_weights():
     import pandas as pd
 
