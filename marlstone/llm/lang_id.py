@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .blocks import squeeze, unsqueeze
 from .common import bounded_batches, table
 
 DIMS, N = 4096, 3
 SAMPLE = 300  # labelled texts for each language to fit centroids on, at most: the distinct texts of the smallest hashes
-LANGUAGES = 200  # more learned languages than these are refused
+VECTORS = 60_000  # sampled texts of all languages, about: with over VECTORS / SAMPLE languages each gets fewer
 CENTROIDS, ROUNDS, SHARE = 4, 20, 0.02
 SLACK = 0.25  # a text is rejected below this share of the median cosine of labelled texts of its length around its centroid
 CLASSES, MEMBERS, BINS = 13, 20, 64  # classes of length (powers of two of distinct trigrams, up to DIMS), labelled texts a class needs, steps of a cosine
@@ -122,7 +123,15 @@ def typical_cosines(usable: DataFrame, model: dict) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> dict:
-    """idf and typical cosines over all labelled texts of docs (doc_id, text, lang), and centroids from the bounded sample."""
+    """idf and typical cosines over all labelled texts of docs (doc_id, text, lang), and centroids from the bounded sample.
+
+    Rows without text or lang teach nothing; a null or repeated doc_id is a row
+    like any other, and each text of a language is drawn once.  Texts of any
+    length count whole; extra columns are ignored; an empty table gives a model
+    that rejects everything.  The model holds up to CENTROIDS vectors of DIMS
+    for each language and the driver about VECTORS sampled texts: both are
+    bounded by the number of languages, not of rows.
+    """
     usable = bounded_batches(docs).where("text is not null and lang is not null")
 
     def document_frequencies(batches):
@@ -142,16 +151,14 @@ def fit(docs: DataFrame) -> dict:
     # neither use up the sample nor enlarge it.  All but about 20 * SAMPLE texts of a language are left out before
     # they are ranked, so no task ranks a large language whole.
     keyed = usable.select("lang", "text", F.xxhash64("text").alias("t"))
-    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("t").alias("count")).limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("t").alias("count")).collect()  # a row for each language
     if not sizes:
         return {"idf": idf, "langs": [], "centroids": np.zeros((0, DIMS), np.float32), "typical": np.zeros((0, CLASSES), np.float32)}
-    below = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 40, 20 * SAMPLE * (1 << 40) // r["count"]))])
-    few = keyed.select("lang", "t", F.pmod("t", F.lit(1 << 40)).alias("h")).where(F.col("h") < F.element_at(below, F.col("lang"))).distinct()
+    spark, sample = docs.sparkSession, max(1, min(SAMPLE, VECTORS // len(sizes)))
+    below = spark.createDataFrame([(r["lang"], min(1 << 40, 20 * SAMPLE * (1 << 40) // r["count"])) for r in sizes], "lang string, below long")
+    few = keyed.select("lang", "t", F.pmod("t", F.lit(1 << 40)).alias("h")).join(below, "lang").where("h < below").select("lang", "h", "t").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    spark = docs.sparkSession
-    picked = spark.createDataFrame([(r["lang"], r["t"]) for r in few.withColumn("r", rank).where(F.col("r") <= SAMPLE).collect()], "lang string, t long")
+    picked = spark.createDataFrame([(r["lang"], r["t"]) for r in few.withColumn("r", rank).where(F.col("r") <= sample).collect()], "lang string, t long")
 
     def sampled(batches):
         seen = set()
@@ -160,16 +167,18 @@ def fit(docs: DataFrame) -> dict:
             for lang, t, x in zip(b.column("lang").to_pylist(), b.column("t").to_pylist(), b.column("text")):
                 if (lang, t) not in seen:
                     seen.add((lang, t))
-                    new.append((lang, t, term_counts(x.as_py()).astype("<i4").tobytes()))
+                    new.append((lang, t, squeeze(term_counts(x.as_py()).astype("<i4"))))
             cols = list(zip(*new)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary()))], ["lang", "t", "terms"])
 
-    # at most SAMPLE * LANGUAGES hashes: a broadcast of bounded size; a task gives each text once
-    found = keyed.join(F.broadcast(picked), ["lang", "t"], "left_semi").select("lang", "t", "text").mapInArrow(sampled, "lang string, t long, terms binary")
-    rows = found.groupBy("lang", "t").agg(F.max("terms").alias("terms")).collect()
+    # at most VECTORS hashes, or one for each language if those are more; Spark broadcasts them by their size. A task gives each text once
+    found = keyed.join(picked, ["lang", "t"], "left_semi").select("lang", "t", "text").mapInArrow(sampled, "lang string, t long, terms binary")
+    rows: dict[str, list] = {}
+    for r in found.groupBy("lang", "t").agg(F.max("terms").alias("terms")).collect():
+        rows.setdefault(r["lang"], []).append(bytes(r["terms"]))
     langs, cents = [], []
-    for lang in sorted({r["lang"] for r in rows}):
-        x = np.stack([np.frombuffer(t, "<i4") for t in sorted(bytes(r["terms"]) for r in rows if r["lang"] == lang)])
+    for lang in sorted(rows):
+        x = np.array(sorted(unsqueeze(t, "<i4").tolist() for t in rows[lang]))
         x = weigh(x[x.sum(axis=1) > 0], idf)
         if len(x):
             c = cluster(x)
@@ -215,7 +224,12 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs whose text is not rejected, with all their columns, in one pass over docs."""
+    """The rows of docs whose text is not rejected, with all their columns, in one pass over docs.
+
+    A null or empty text, or one without a letter, is rejected; a null doc_id is
+    a row like any other; repeated rows stay or go together; texts count whole;
+    an empty table gives none.
+    """
 
     def run(batches):
         for b in batches:
@@ -231,6 +245,6 @@ def fold(doc_id="doc_id"):
 
 def op2_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(docs.where(fold() != TEST_FOLD))
-    held = F.coalesce(fold() == TEST_FOLD, F.lit(False))
+    held = F.coalesce(fold() == TEST_FOLD, F.lit(False))  # without a doc_id a row is not held out, so it teaches
+    model = fit(docs.where(~held))
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

@@ -85,3 +85,24 @@ def test_copies_of_one_text_do_not_shrink_the_sample(spark, monkeypatch):
     monkeypatch.setattr(lang_id, "cluster", lambda x: sizes.append(len(x)) or cluster(x))
     lang_id.fit(docs)
     assert sizes == [lang_id.SAMPLE]
+
+
+def test_many_languages_and_null_ids_teach(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "VECTORS", 600)
+    r = random.Random(9)
+    words = {f"l{k}": ["".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(3, 9))) for _ in range(12)] for k in range(220)}
+    rows = [(None if k % 2 else i, " ".join(r.choice(ws) for _ in range(20)), x) for k, (x, ws) in enumerate(words.items()) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(docs)
+    assert set(model["langs"]) == set(words)
+    got = lang_id.predict_texts([" ".join(ws) for ws in words.values()], model)
+    assert sum(g[0] == x for g, x in zip(got, words)) > 200
+
+
+def test_the_query_learns_from_rows_without_id(spark, tmp_path):
+    r = random.Random(3)
+    words = {x: ["".join(r.choice(y) for _ in range(r.randint(2, 8))) for _ in range(60)] for x, y in (("aa", "abcdefg"), ("bb", "hijklmn"))}
+    rows = [(None, " ".join(r.choice(words["bb"]) for _ in range(30)), "bb") for _ in range(50)] + [(i, " ".join(r.choice(words["aa"]) for _ in range(30)), "aa") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lang_id.op2_lang_id(spark, str(tmp_path)).collect()
+    assert all((g.doc_id is None) == (g.lang_pred == "bb") for g in got) and not any(g.held_out for g in got if g.doc_id is None)
