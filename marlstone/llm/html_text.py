@@ -9,6 +9,7 @@ cells are aligned in columns, and preformatted text keeps its white space.
 from __future__ import annotations
 
 import re
+import sys
 from hashlib import sha256
 from html import unescape
 
@@ -19,7 +20,9 @@ from .common import bounded_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object svg math audio video canvas source track param area map".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas source track param area annotation annotation-xml".split())
+FOREIGN = frozenset(("svg", "math"))
+UNDRAWN = frozenset("desc defs metadata symbol".split())  # parts of svg without a rendering
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset form hr menu xmp".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer header hgroup legend li main nav optgroup option search section summary tr caption".split())
 #: start tag -> open tags that it closes, as far up as the boundary tags
@@ -33,10 +36,15 @@ CLOSES = {
 }
 ENDS_P = BLOCK - {"html", "body", "option", "optgroup", "tr", "caption", "legend"}
 SCOPE = frozenset("table td th caption button object html template".split())
+DEEPEST = 20_000
 DEEP = 400  # elements nested deeper become siblings, as in browsers; their text stays
-TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
-ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+COLUMNS, LINE = 256, 400  # columns that are aligned, and the last place in a line at which a column starts
+# possessive throughout: a tag is read once, whatever it holds
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+OPENS_TAG = re.compile(r"</?[a-zA-Z]")
+COMMENT_END = re.compile(r"--!?>")
+ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+")
+STYLE = re.compile(r"(?:^|;)\s*+(display|visibility|content-visibility)\s*+:\s*+([a-z-]+)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -50,7 +58,7 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of a page; strings are text."""
     root = Node("html")
-    open_, at = [root], 0
+    open_, at, seek = [root], 0, 0
     raw_end: dict[str, re.Pattern] = {}
 
     def text(s):
@@ -67,10 +75,26 @@ def parse(html: str) -> Node:
                 return False
         return False
 
-    for_ = TAG.search
-    m = for_(html)
-    while m:
-        text(html[at : m.start()])
+    def after(end):
+        return len(html) if end < 0 else end + 1
+
+    while (lt := html.find("<", seek)) >= 0:
+        if not OPENS_TAG.match(html, lt):
+            if html[lt + 1 : lt + 2] not in ("!", "?", "/"):  # text, with what follows
+                seek = lt + 1
+                continue
+            text(html[at:lt])
+            if html.startswith("<!--", lt):
+                end = COMMENT_END.search(html, lt + 2)
+                at = seek = end.end() if end else len(html)
+            else:
+                at = seek = after(html.find(">", lt))
+            continue
+        text(html[at:lt])
+        m = TAG.match(html, lt)
+        if not m:  # the page ends inside a tag
+            at = len(html)
+            break
         at = m.end()
         tag = m[2]
         if tag:
@@ -106,28 +130,42 @@ def parse(html: str) -> Node:
                         close({"a"}, SCOPE)
                     node = Node(tag, attrs)
                     open_[-1].kids.append(node)
-                    if tag in RAW:
+                    if m[3].endswith("/") and (tag in FOREIGN or any(n.tag in FOREIGN for n in open_)):
+                        pass  # closes itself
+                    elif tag in RAW:
                         end = raw_end.get(tag) or raw_end.setdefault(tag, re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I))
                         stop = end.search(html, at)
                         inner = html[at : stop.start() if stop else len(html)]
                         node.kids.append(unescape(inner) if tag in ("textarea", "title") else inner)
                         at = stop.end() if stop else len(html)
-                    elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math", "path")) and len(open_) < DEEP:
+                    elif tag not in VOID and len(open_) < DEEP:
                         open_.append(node)
-        m = for_(html, at)
+        seek = at
     text(html[at:])
     return root
 
 
-def hidden(node: Node) -> bool:
+def styled(node: Node) -> dict[str, str]:
+    return {k.lower(): v.lower() for k, v in STYLE.findall(node.attrs["style"])} if "style" in node.attrs else {}
+
+
+def gone(node: Node, drawn: bool) -> bool:
+    """Whether neither the element nor anything in it is shown; drawn says that it is inside an svg."""
     a = node.attrs
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.tag == "input" or drawn and node.tag in UNDRAWN:
         return True
     if not a:
         return False
-    if "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
+    if "hidden" in a or "popover" in a or node.tag == "dialog" and "open" not in a:
         return True
-    return "style" in a and bool(HIDES.search(a["style"])) or node.tag == "input"
+    style = styled(node)
+    return style.get("display") == "none" or style.get("content-visibility") == "hidden"
+
+
+def seen(node: Node, inherited: bool) -> bool:
+    """Visibility is inherited, and a descendant may take it back."""
+    v = styled(node).get("visibility") if node.attrs else None
+    return inherited if v is None or v == "inherit" else v not in ("hidden", "collapse")
 
 
 class Page:
@@ -167,13 +205,23 @@ class Page:
         self.gap = max(self.gap, gap)
 
 
-def render(node: Node, page: Page, pre: bool = False, listed: int = 0) -> None:
-    number = None
+def number_of(text: str, other: int) -> int:
+    return int(text) if re.fullmatch(r"-?\d{1,9}", text) else other
+
+
+def render(node: Node, page: Page, pre: bool = False, listed: int = 0, visible: bool = True, drawn: bool = False) -> None:
+    number, step = None, 1
+    kids = node.kids
     if node.tag == "ol":
-        start = node.attrs.get("start", "")
-        number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    for kid in node.kids:
+        if "reversed" in node.attrs:
+            step = -1
+        number = number_of(node.attrs.get("start", ""), 1 if step > 0 else sum(isinstance(k, Node) and k.tag == "li" for k in kids))
+    elif node.tag == "details" and "open" not in node.attrs:  # closed: its summary alone
+        kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
+    for kid in kids:
         if isinstance(kid, str):
+            if not visible:
+                continue
             if pre:
                 first, *rest = kid.split("\n")
                 page.here.append(first)
@@ -184,134 +232,178 @@ def render(node: Node, page: Page, pre: bool = False, listed: int = 0) -> None:
                 page.inline(kid)
             continue
         tag = kid.tag
-        if hidden(kid):
+        if gone(kid, drawn):
             continue
+        shown, inside = seen(kid, visible), drawn or tag == "svg"
         if tag == "br":
-            page.line(True)
+            page.line(visible)
         elif tag == "hr":
             page.block(1)
         elif tag == "table":
             page.block(1)
-            for s in table_lines(kid):
+            for s in table_lines(kid, shown):
                 page.put(s)
             page.block(1)
         elif tag in ("pre", "xmp", "textarea"):
             page.block(1)
             if kid.kids and isinstance(kid.kids[0], str):
-                kid.kids[0] = kid.kids[0].removeprefix("\r").removeprefix("\n")
-            render(kid, page, True, listed)
+                kid.kids[0] = kid.kids[0].removeprefix("\n")
+            render(kid, page, True, listed, shown, inside)
             s, page.here = "".join(page.here), []
             if s:
                 page.put(s)
             page.block(1)
         elif tag == "li":
             page.block(0)
-            before, page.indent = page.indent, page.indent
+            before = page.indent
             if number is None:
                 lead = "- "
             else:
-                lead, number = f"{number}. ", number + 1
+                number = number_of(kid.attrs.get("value", ""), number)
+                lead, number = f"{number}. ", number + step
             page.indent = before + " " * len(lead)
-            page.lead = lead
-            render(kid, page, pre, listed)
+            page.lead = lead if shown else ""
+            render(kid, page, pre, listed, shown, inside)
             page.block(0)
             page.indent, page.lead = before, ""
+        elif drawn and tag == "text":
+            page.block(0)
+            render(kid, page, pre, listed, shown, inside)
+            page.block(0)
         elif tag in BLOCK:
             gap = 1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and listed) else 0
             page.block(gap)
             before = page.indent
             if tag in ("blockquote", "dd"):
                 page.indent += "  "
-            render(kid, page, pre, listed + (tag in ("ul", "ol", "menu")))
+            render(kid, page, pre, listed + (tag in ("ul", "ol", "menu")), shown, inside)
             page.block(gap)
             page.indent = before
-        elif tag == "q":
+        elif tag == "q" and shown:
             page.inline("“")
-            render(kid, page, pre, listed)
+            render(kid, page, pre, listed, shown, inside)
             page.inline("”")
         else:
-            render(kid, page, pre, listed)
+            render(kid, page, pre, listed, shown, inside)
 
 
-def lines_of(node: Node) -> list[str]:
+def lines_of(node: Node, visible: bool = True) -> list[str]:
     page = Page()
-    render(node, page)
+    render(node, page, visible=visible)
     page.block(0)
     return page.lines
 
 
-def table_lines(node: Node) -> list[str]:
-    """A table's caption, then rows whose cells start at their columns' places, two spaces apart."""
-    rows, out, loose = [], [], []
+def table_rows(node: Node, visible: bool) -> tuple[list[str], list[list[tuple[Node, bool]]]]:
+    """Lines that come before the table (its caption, then text between rows), and its rows of cells, each with its visibility.
 
-    def gather(n, into):
+    The first head stands above and the first foot below all other rows.
+    """
+    before: list[str] = []
+    loose = Node("div")
+    head: list | None = None
+    foot: list | None = None
+    body: list = []
+
+    def gather(n, into, visible):
+        nonlocal head, foot
         for kid in n.kids:
             if isinstance(kid, str):
                 if not kid.isspace():
-                    loose.append(kid)
-            elif hidden(kid) or kid.tag in ("colgroup", "col"):
-                pass
-            elif kid.tag == "caption":
-                out.extend(lines_of(kid))
+                    loose.kids.append(kid)
+                continue
+            if gone(kid, False) or kid.tag in ("colgroup", "col"):
+                continue
+            shown = seen(kid, visible)
+            if kid.tag == "caption":
+                before.extend(lines_of(kid, shown))
             elif kid.tag in ("thead", "tbody", "tfoot"):
-                gather(kid, into)
+                to = into
+                if kid.tag == "thead" and head is None:
+                    to = head = []
+                elif kid.tag == "tfoot" and foot is None:
+                    to = foot = []
+                gather(kid, to, shown)
             elif kid.tag == "tr":
-                cells = [c for c in kid.kids if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)]
-                stray = Node("td")
-                stray.kids = [c for c in kid.kids if c not in cells and not (isinstance(c, str) and c.isspace())]
-                into.append(cells + [stray] * bool(stray.kids))
+                cells, stray = [], Node("td")
+                for c in kid.kids:
+                    if isinstance(c, Node) and c.tag in ("td", "th"):
+                        if not gone(c, False):
+                            cells.append((c, seen(c, shown)))
+                    elif not (isinstance(c, str) and c.isspace()):
+                        stray.kids.append(c)
+                into.append(cells + [(stray, shown)] * bool(stray.kids))
             else:
                 stray = Node("td")
                 stray.kids = [kid]
-                into.append([stray])
-
-    gather(node, rows)
-    if loose:  # text between rows is shown before the table
-        holder = Node("div")
-        holder.kids = loose
-        out.extend(lines_of(holder))
-    grid, held = [], {}  # held: column -> rows it stays taken by a cell above
-    for cells in rows:
+                into.append([(stray, visible)])
+
+    gather(node, body, visible)
+    if loose.kids:
+        before.extend(lines_of(loose, visible))
+    return before, [*(head or []), *body, *(foot or [])]
+
+
+def table_lines(node: Node, visible: bool = True) -> list[str]:
+    """A table's caption, then rows whose cells start at their columns' places, two spaces apart.
+
+    Columns after the COLUMNS-th follow each other unaligned, and no column
+    starts beyond LINE, so that a wide table stays about as long as its text.
+    """
+    out, rows = table_rows(node, visible)
+    grid, until = [], [0] * COLUMNS  # until: the row up to which a column is taken from above
+    for r, cells in enumerate(rows):
         line, col = [], 0
-        taken = {c for c, n in held.items() if n > 0}
-        held = {c: n - 1 for c, n in held.items() if n > 1}
-        for c in cells:
-            while col in taken:
+        for c, shown in cells:
+            while col < COLUMNS and until[col] > r:
                 col += 1
-            span = lambda name: min(max(int(v), 1), 1000) if re.fullmatch(r"\d{1,6}", v := c.attrs.get(name, "")) else 1  # noqa: E731, B023
-            wide, tall = span("colspan"), span("rowspan")
-            line.append((col, wide, lines_of(c)))
+            wide = min(max(number_of(c.attrs.get("colspan", ""), 1), 1), 1000)
+            tall = number_of(c.attrs.get("rowspan", ""), 1) or 65534
+            line.append((col, wide, lines_of(c, shown)))
             if tall > 1:
-                held |= dict.fromkeys(range(col, col + wide), tall - 1)
+                for k in range(col, min(col + wide, COLUMNS)):
+                    until[k] = r + tall
             col += wide
         grid.append(line)
-    width: dict[int, int] = {}
+    width = [0] * COLUMNS
+    last = 0
     for line in grid:
         for col, wide, text in line:
-            if wide == 1:
-                width[col] = max(width.get(col, 0), max(map(len, text), default=0))
+            if col < COLUMNS:
+                last = max(last, min(col + wide, COLUMNS))
+                if wide == 1:
+                    width[col] = max(width[col], max(map(len, text), default=0))
     for line in grid:
         for col, wide, text in line:
-            if wide > 1:
-                lack = max(map(len, text), default=0) - sum(width.get(c, 0) + 2 for c in range(col, col + wide)) + 2
+            end = min(col + wide, COLUMNS)
+            if wide > 1 and col < COLUMNS and text:
+                lack = max(map(len, text)) - sum(width[col:end]) - 2 * (end - col - 1)
                 if lack > 0:
-                    width[col + wide - 1] = width.get(col + wide - 1, 0) + lack
-    starts, at = {}, 0
-    for col in range(max(width, default=-1) + 1):
-        starts[col] = at
-        at += width.get(col, 0) + 2 * (col in width)
+                    width[end - 1] += lack
+    starts, at = [], 0
+    for w in width[:last]:
+        starts.append(min(at, LINE))
+        at += w + 2 * (w > 0)
     for line in grid:
+        shown: dict[int, list[tuple[int, str]]] = {}
+        for col, _, text in line:
+            for k, t in enumerate(text):
+                if t:
+                    shown.setdefault(k, []).append((col, t))
         for k in range(max((len(t) for _, _, t in line), default=0)):
-            s = ""
-            for col, _, text in line:
-                if k < len(text) and text[k]:
-                    s = s.ljust(starts.get(col, at)) + text[k]
-            out.append(s)
+            parts, at = [], 0
+            for col, t in shown.get(k, []):
+                pad = max((starts[col] if col < last else 0) - at, 2 if at else 0)
+                parts += [" " * pad, t]
+                at += pad + len(t)
+            out.append("".join(parts))
     return out
 
 
 def extract(html: str | None) -> str:
     """All visible text of a page; empty for null, empty or wholly hidden pages."""
+    if sys.getrecursionlimit() < DEEPEST:  # a table in a cell costs some calls a level, none of them on the C stack
+        sys.setrecursionlimit(DEEPEST)
     lines = lines_of(parse((html or "").replace("\0", "").replace("\r\n", "\n").replace("\r", "\n")))
     while lines and not lines[-1]:
         lines.pop()

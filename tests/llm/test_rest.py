@@ -1,6 +1,7 @@
 """Chat formatting, HTML extraction, the pipeline and the registry."""
 
 import random
+import time
 from hashlib import sha256
 
 import duckdb
@@ -49,6 +50,11 @@ HTML = [
     ("<table><tr><th>Name<th>Age<tr><td>Bob<td>42</table>", "Name  Age\nBob   42"), ("<table><tr><td rowspan=2>x<td>y<tr><td>z</table>", "x  y\n   z"), ("<table><tr><td colspan=2>wide cell here<tr><td>a<td>b</table>", "wide cell here\na  b"),
     ("<pre>\n a\n   b</pre>", " a\n   b"), ("<!-- <p>no</p> -->x &amp; y &lt;z&gt; &#233;", "x & y <z> é"), ("<p>unclosed <b>tags <i>here", "unclosed tags here"), ("a < b and c > d", "a < b and c > d"),
     ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<head><title>no</title></head><body>yes</body>", "yes"), ("<select><option>a<option>b</select>", "a\nb"), ("<div><p>in</div>out", "in\n\nout"), ("<a href='x>y'>link</a>", "link"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>", "yes"), ("<div style='visibility:hidden'><p>no<p style='visibility:visible'>a<span style='display:none'>no</span>b</div>", "ab"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "yes"), ("<details><summary>more</summary><p>no</details><details open><summary>all</summary><p>yes</details>", "more\nall\n\nyes"),
+    ("<table><tfoot><tr><td>sum</tfoot><thead><tr><td>head</thead><tbody><tr><td>row</table>", "head\nrow\nsum"), ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"), ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+    ("<svg><title>no</title><defs/><style/><text>one</text><text>two</text></svg><math><mi>x</mi></math><map><area>in a map</map>", "one\ntwo\nxin a map"), ("<p don't>a</p><p title=\"x>y\">b<p t='>c", "a\n\nb\n\nc"),
+    ("<!-->a<!--->b<!-- x --!>c</>d</ e>f<?g>h", "abcdfh"), ("<p>kept<p class='no", "kept"), ("<div popover>no</div><div hidden=until-found>no</div>x<", "x<"), ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
 ]
 
 
@@ -59,13 +65,75 @@ def test_layout(html, want):
 
 def test_deep_and_broken_pages():
     assert html_text.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
-    assert html_text.extract("<table>" * 300 + "x").strip() == "x"
+    for n in (300, 340, 399, 5000):
+        assert html_text.extract("<table>" * n + "x").strip() == "x"
+        assert html_text.extract("<table><tr><td>" * n + "x").strip() == "x"
     r = random.Random(2)
     parts = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<", ">", "<!--", "-->", "text ", "&amp", "<pre>", "\n", "<b", "</", "<td colspan=9>", "<script>", "<textarea>"]
     for _ in range(2000):
         html_text.extract("".join(r.choice(parts) for _ in range(r.randint(0, 40))))
 
 
+HOSTILE = {
+    "open tags": "<a " * 350_000, "quotes": "<a b='>" * 150_000, "quoted ends": '<a b=">"' * 130_000, "comments": "<!--" * 250_000, "brackets": "<" * 1_000_000, "spans": "<table>" + ("<tr>" + "<td rowspan=1000 colspan=1000>x" * 600) * 50,
+    "wide row": "<table><tr>" + "<td>x" * 200_000, "long cell": "<table>" + "<tr><td>" + "y" * 500_000 + "<td>z" + "<tr><td>a<td>b" * 30_000, "tall span": "<table><tr><td colspan=1000 rowspan=60000>" + "<tr><td>a" * 100_000,
+    "lists": "<ul><li>" * 100_000 + "x", "far column": "<table>" + "<tr><td colspan=255>a<td>b" * 30_000, "lines": "<table><tr>" + "<td>" + "<br>" * 100_000 + "<td>x" * 100_000, "entities": "&amp" * 250_000, "raw": "<script>" * 100_000, "ends": "</p>" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_hostile_page_takes_time_in_proportion(name):
+    began = time.process_time()
+    out = html_text.extract(HOSTILE[name])
+    assert time.process_time() - began < 20 and len(out) < 60 * len(HOSTILE[name])
+
+
+def plain_page(r, depth=0):
+    """A random page and its lines, each block of which says how many blank lines it asks for around it."""
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(1, 7)))
+    html, blocks = "", []
+    for _ in range(r.randint(1, 4)):
+        kind = r.choice(["p", "div", "ul", "ol", "table", "h2", "pre"] if depth < 2 else ["p", "div"])
+        hide = r.random() < 0.1
+        attr = r.choice([" hidden", " style='display:none'"]) if hide else ""
+        if kind in ("ul", "ol"):
+            inner, lines = "", []
+            for k in range(r.randint(1, 3)):
+                t = " ".join(word() for _ in range(r.randint(1, 4)))
+                inner += f"<li>{t}" + r.choice(["</li>", ""])
+                lines.append((f"{k + 1}. " if kind == "ol" else "- ") + t)
+            got = f"<{kind}{attr}>{inner}</{kind}>", lines, 1
+        elif kind == "table":
+            rows_ = [[word() for _ in range(3)] for _ in range(r.randint(1, 3))]
+            width = [max(len(x[c]) for x in rows_) for c in range(3)]
+            inner = "".join("<tr>" + "".join(f"<td>{c}" for c in x) for x in rows_)
+            got = f"<table{attr}>{inner}</table>", ["  ".join(c.ljust(w) for c, w in zip(x, width)).rstrip() for x in rows_], 1
+        elif kind == "pre":
+            lines = [word() + "   " + word() for _ in range(r.randint(1, 3))]
+            got = f"<pre{attr}>" + "\n".join(lines) + "</pre>", lines, 1
+        else:
+            t = " ".join(word() for _ in range(r.randint(1, 5)))
+            got = f"<{kind}{attr}>{t.replace(' ', r.choice([' ', chr(10), '  ']))}</{kind}>", [t], 0 if kind == "div" else 1
+        html += got[0]
+        if not hide:
+            blocks.append(got[1:])
+    return html, blocks
+
+
+def test_layout_of_random_pages():
+    r = random.Random(12)
+    for _ in range(1500):
+        html, blocks = plain_page(r)
+        want: list[str] = []
+        gap = 0
+        for lines, around in blocks:
+            if want:
+                want += [""] * max(gap, around)
+            want += lines
+            gap = around
+        assert html_text.extract(html) == "\n".join(want), html
+
+
 def test_all_visible_words_come_out(spark, sf):
     from html.parser import HTMLParser
 
