@@ -155,10 +155,12 @@ def fit(docs: DataFrame) -> dict:
     if not sizes:
         return {"idf": idf, "langs": [], "centroids": np.zeros((0, DIMS), np.float32), "typical": np.zeros((0, CLASSES), np.float32)}
     spark, sample = docs.sparkSession, max(1, min(SAMPLE, VECTORS // len(sizes)))
+    # both tables that rows meet have at most VECTORS rows, unless there are more languages than that
+    sent = F.broadcast if len(sizes) <= VECTORS else (lambda df: df)
     below = spark.createDataFrame([(r["lang"], min(1 << 40, 20 * SAMPLE * (1 << 40) // r["count"])) for r in sizes], "lang string, below long")
-    few = keyed.select("lang", "t", F.pmod("t", F.lit(1 << 40)).alias("h")).join(below, "lang").where("h < below").select("lang", "h", "t").distinct()
+    few = keyed.select("lang", "t", F.pmod("t", F.lit(1 << 40)).alias("h")).join(sent(below), "lang").where("h < below").select("lang", "h", "t").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    picked = spark.createDataFrame([(r["lang"], r["t"]) for r in few.withColumn("r", rank).where(F.col("r") <= sample).collect()], "lang string, t long")
+    chosen = [(r["lang"], r["t"]) for r in few.withColumn("r", rank).where(F.col("r") <= sample).collect()]
 
     def sampled(batches):
         seen = set()
@@ -171,8 +173,8 @@ def fit(docs: DataFrame) -> dict:
             cols = list(zip(*new)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.binary()))], ["lang", "t", "terms"])
 
-    # at most VECTORS hashes, or one for each language if those are more; Spark broadcasts them by their size. A task gives each text once
-    found = keyed.join(picked, ["lang", "t"], "left_semi").select("lang", "t", "text").mapInArrow(sampled, "lang string, t long, terms binary")
+    # a task gives each text once
+    found = keyed.join(sent(spark.createDataFrame(chosen, "lang string, t long")), ["lang", "t"], "left_semi").select("lang", "t", "text").mapInArrow(sampled, "lang string, t long, terms binary")
     rows: dict[str, list] = {}
     for r in found.groupBy("lang", "t").agg(F.max("terms").alias("terms")).collect():
         rows.setdefault(r["lang"], []).append(bytes(r["terms"]))
