@@ -93,9 +93,43 @@ def sha3_256(b):
     return b.map(lambda x: None if x is None else hashlib.sha3_256(bytes(x)).hexdigest())
 
 
+def sha3_256_text(c) -> Column:
+    """SHA3-256 of a text's UTF-8 bytes, in hex, in the JVM; bytes that are no text need sha3_256."""
+    return F.when(col(c).isNotNull(), F.reflect(F.lit("org.apache.commons.codec.digest.DigestUtils"), F.lit("sha3_256Hex"), col(c)))
+
+
 @pandas_udf(T.StringType())
 def blake3_256(b):
-    """BLAKE3-256 of bytes, in hex."""
-    from .primitives import blake3
+    """BLAKE3-256 of bytes, in hex; the blocks of a batch are compressed together."""
+    import pandas as pd
+
+    from .primitives import blake3_many
+
+    at = [i for i, x in enumerate(b) if x is not None]
+    out = [None] * len(b)
+    for i, d in zip(at, blake3_many([bytes(b.iloc[i]) for i in at])):
+        out[i] = d.hex()
+    return pd.Series(out, dtype=object)
+
+
+#: Algorithms by name: bytes of a digest (fixed values).
+DIGESTS = {"MD5": 16, "SHA1": 20, "SHA2": 32, "SHA3": 32, "Blake3": 32}
+
+
+def hash_of(algorithm: str, *parts) -> Column:
+    """Digest of the bytes of all parts, one after the other, as (algo, digest in hex); null if a part is."""
+    whole = F.concat(*[col(p).cast("binary") for p in parts])
+    digests = {"MD5": F.md5, "SHA1": F.sha1, "SHA2": lambda b: F.sha2(b, 256), "SHA3": sha3_256, "Blake3": blake3_256}
+    return F.when(whole.isNotNull(), F.struct(F.lit(algorithm).alias("algo"), digests[algorithm](whole).alias("digest")))
+
+
+def zero_hash(algorithm: str) -> Column:
+    """The digest of all zeros that stands for none."""
+    return F.struct(F.lit(algorithm).alias("algo"), F.lit("00" * DIGESTS[algorithm]).alias("digest"))
+
 
-    return b.map(lambda x: None if x is None else blake3(bytes(x)).hex())
+def random_hash(algorithm: str, seed: int | None = None) -> Column:
+    """A digest of random bytes; with a seed the same ones at every run over the same partitions."""
+    n = DIGESTS[algorithm]
+    words = [F.lpad(F.lower(F.hex(F.floor((F.rand() if seed is None else F.rand(seed + i)) * float(1 << 32)).cast("long"))), 8, "0") for i in range(n // 4)]
+    return F.struct(F.lit(algorithm).alias("algo"), F.concat(*words).alias("digest"))

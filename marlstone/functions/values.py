@@ -13,19 +13,57 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parsed(json) -> Column:
     """A VARIANT, null where the text is malformed (what follows a whole value is not read)."""
     return F.try_parse_json(col(json))
 
 
 def kind(v) -> Column:
-    """Name of a VARIANT's kind; null for a malformed value."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), None).when(F.is_variant_null(v), "Unit").when(s == "BOOLEAN", "Bool").when(s == "BIGINT", "SignedInt")
-        .when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "Float").when(s == "STRING", "String").when(s.startswith("ARRAY"), "Vec")
-        .when(s.startswith("OBJECT"), "Object").otherwise("Unknown")
+    """Name of a VARIANT's kind; null for a malformed value.
+
+    Integers beyond 64 bits, up to 38 digits, are integers too: those above zero are unsigned.
+    """
+
+    def named(s):
+        wide = s.rlike("^DECIMAL[(][0-9]+,0[)]$") & F.try_variant_get(v, "$", "bigint").isNull()
+        return (
+            F.when(s == "VOID", "Unit").when(s == "BOOLEAN", "Bool").when(s == "BIGINT", "SignedInt")
+            .when(wide, F.when(F.try_variant_get(v, "$", "decimal(38,0)") < 0, "SignedInt").otherwise("UnsignedInt"))
+            .when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "Float").when(s == "STRING", "String").when(s.startswith("ARRAY"), "Vec")
+            .when(s.startswith("OBJECT"), "Object").when(s.isNotNull(), "Unknown")
+        )
+
+    return let(F.schema_of_variant(v), named)
+
+
+def typed(v, kind_: str) -> Column:
+    """An integer of one signedness as decimal(38,0): null if it is malformed or of any other kind, even if its value would fit."""
+    if kind_ not in ("SignedInt", "UnsignedInt"):
+        raise ValueError("SignedInt or UnsignedInt")
+    return F.when(kind(v) == kind_, F.try_variant_get(v, "$", "decimal(38,0)"))
+
+
+def record_error(json, type_name: str, fields: list[str], strict: bool = False) -> Column:
+    """What keeps JSON text from being a record of this type: null if nothing does.
+
+    Its own type_name must be the one asked for and all fields must be there;
+    in strict mode there may be no others.
+    """
+    keys = field_names(json)
+    missing = F.array_except(F.array(*map(F.lit, fields)), keys)
+    extra = F.array_except(keys, F.array(F.lit("type_name"), *map(F.lit, fields)))
+    named = field(parsed(json), "type_name", "string")
+    wrong = F.coalesce(named, F.lit("")) != type_name
+    found = (
+        F.when(parsed(json).isNull(), "malformed").when(keys.isNull(), "not a record").when(wrong, F.concat(F.lit("wrong type: "), F.coalesce(named, F.lit("none"))))
+        .when(F.size(missing) > 0, F.concat(F.lit("missing field: "), F.get(missing, F.lit(0))))
     )
+    return found.when(F.size(extra) > 0, F.concat(F.lit("unexpected field: "), F.get(extra, F.lit(0)))) if strict else found
 
 
 def rank_of(name: Column) -> Column:

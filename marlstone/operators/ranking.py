@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder for checkpoints: spark.checkpoint.dir; a folder of this machine only where that is unset and the master is local."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
 
 
 def row_numbers(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
@@ -14,8 +25,7 @@ def row_numbers(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
     fixes that, and each range then starts after the rows of those before it.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+    ensure_checkpoint_dir(spark)
     keys = [f"__k{i}" for i in range(len(order))]
     keyed = df.select("*", *[(F.expr(o.rsplit(" ", 1)[0]) if o.endswith((" desc", " asc")) else F.expr(o)).alias(k) for o, k in zip(order, keys)])
     by = [F.col(k).desc_nulls_last() if o.endswith(" desc") else F.col(k).asc_nulls_first() for o, k in zip(order, keys)]

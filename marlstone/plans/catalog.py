@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import bits as B, hashing as H, values as V
+from ..functions import bits as B, bloom as S13, hashing as H, ordering as O, packed as K, primitives, values as V
 from ..operators import documents as D, txlog as X
 from ..operators.ranking import row_numbers
 from ..sources.tables import table
@@ -30,11 +32,15 @@ def of(name: str):
 EV, PART, LI, ORD, CUST, NAT, EMB, DOC, REG = map(of, ("events", "part", "lineitem", "orders", "customer", "nation", "embeddings", "documents", "region"))
 #: JSON values of every kind, one malformed; the text is valid in both dialects.
 MIXED = (
-    "CASE CAST(event_id % 9 AS INT) WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat('-', CAST(event_id AS STRING)) WHEN 2 THEN concat(CAST(event_id AS STRING), '.5') "
-    "WHEN 3 THEN concat('\"', event_type, '\"') WHEN 4 THEN 'true' WHEN 5 THEN 'null' WHEN 6 THEN concat('[1,', CAST(event_id AS STRING), ']') WHEN 7 THEN props ELSE concat('{', props) END"
+    "CASE CAST(event_id % 16 AS INT) WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat('-', CAST(event_id AS STRING)) WHEN 2 THEN concat(CAST(event_id AS STRING), '.5') "
+    "WHEN 3 THEN concat('\"', event_type, '\"') WHEN 4 THEN 'true' WHEN 5 THEN 'null' WHEN 6 THEN concat('[1,', CAST(event_id AS STRING), ']') WHEN 7 THEN props WHEN 8 THEN concat('{', props) "
+    "WHEN 9 THEN CAST(9007199254740990 + event_id % 5 AS STRING) WHEN 10 THEN concat('1234567890123456789', CAST(event_id % 10 AS STRING)) WHEN 11 THEN concat('[1,', CAST(event_id % 13 AS STRING), ',\"x\"]') "
+    "WHEN 12 THEN CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '\"B\"' WHEN 1 THEN '\"a\"' WHEN 2 THEN '\"A\"' WHEN 3 THEN '\"é_1\"' ELSE '\"b\"' END "
+    "WHEN 13 THEN concat('{\"k\": [', CAST(event_id % 11 AS STRING), ', \"', event_type, '\"]}') WHEN 14 THEN concat(CAST(9007199254740990 + event_id % 3 AS STRING), '.5') "
+    "ELSE concat('{\"a\": ', CAST(event_id % 3 AS STRING), ', \"k\": -', CAST(event_id % 7 + 1 AS STRING), '}') END"
 )
-KIND_SQL = "CASE WHEN NOT json_valid(j) THEN NULL ELSE CASE json_type(j::JSON) WHEN 'NULL' THEN 'Unit' WHEN 'BOOLEAN' THEN 'Bool' WHEN 'BIGINT' THEN 'SignedInt' WHEN 'UBIGINT' THEN 'SignedInt' WHEN 'DOUBLE' THEN 'Float' WHEN 'VARCHAR' THEN 'String' WHEN 'ARRAY' THEN 'Vec' WHEN 'OBJECT' THEN 'Object' END END"
-RANK_SQL = "CASE k WHEN 'Unit' THEN 0 WHEN 'Bool' THEN 1 WHEN 'SignedInt' THEN 2 WHEN 'Float' THEN 2 WHEN 'Vec' THEN 6 WHEN 'Object' THEN 10 WHEN 'String' THEN 12 ELSE 99 END"
+KIND_SQL = "CASE WHEN NOT json_valid(j) THEN NULL ELSE CASE json_type(j::JSON) WHEN 'NULL' THEN 'Unit' WHEN 'BOOLEAN' THEN 'Bool' WHEN 'BIGINT' THEN 'SignedInt' WHEN 'UBIGINT' THEN CASE WHEN CAST(j AS DECIMAL(38,0)) > 9223372036854775807 THEN 'UnsignedInt' ELSE 'SignedInt' END WHEN 'DOUBLE' THEN 'Float' WHEN 'VARCHAR' THEN 'String' WHEN 'ARRAY' THEN 'Vec' WHEN 'OBJECT' THEN 'Object' END END"
+RANK_SQL = "CASE k WHEN 'Unit' THEN 0 WHEN 'Bool' THEN 1 WHEN 'SignedInt' THEN 2 WHEN 'UnsignedInt' THEN 2 WHEN 'Float' THEN 2 WHEN 'Vec' THEN 6 WHEN 'Object' THEN 10 WHEN 'String' THEN 12 ELSE 99 END"
 
 
 def mixed(s, d) -> DataFrame:
@@ -49,6 +55,12 @@ def validate_props(s, d):
     return mixed(s, d).select("event_id", F.col("v").isNotNull().alias("is_valid"))
 
 
+@query(f"SELECT event_id, CASE WHEN k = 'SignedInt' THEN CAST(j AS VARCHAR) END AS as_signed, CASE WHEN k = 'UnsignedInt' THEN CAST(j AS VARCHAR) END AS as_unsigned FROM (SELECT event_id, j, {KIND_SQL} AS k FROM (SELECT event_id, {MIXED} AS j FROM events))")
+def typed_ints(s, d):
+    """Integers read with a signedness, which refuses those of the other."""
+    return mixed(s, d).select("event_id", *[V.typed("v", k).cast("string").alias(a) for k, a in (("SignedInt", "as_signed"), ("UnsignedInt", "as_unsigned"))])
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(TRY_CAST(x AS INTEGER) AS BIGINT) AS as_int, CAST(TRY_CAST(x AS SMALLINT) AS BIGINT) AS as_short, CAST(TRY_CAST(x AS TINYINT) AS BIGINT) AS as_byte FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, (l_partkey - 500) * l_suppkey * l_linenumber * 99 AS x FROM lineitem)")
 def narrow_int(s, d):
     x = LI(s, d).selectExpr("l_orderkey", "CAST(l_linenumber AS BIGINT) AS l_linenumber", "(l_partkey - 500) * l_suppkey * l_linenumber * 99 AS x")
@@ -196,6 +208,29 @@ def bit_pack(s, d):
     return PART(s, d).select("p_partkey", B.packed(bools).alias("packed"))
 
 
+@query("SELECT vec_id, CAST(16 + ceil(4 * len(embedding) / 8.0) * 8 AS BIGINT) AS n_bytes, 'f32' AS element, CAST(1 AS BIGINT) AS tensor_rank, CAST(len(embedding) AS BIGINT) AS dim0, CAST(embedding[1] AS DOUBLE) AS first_item, CAST(embedding[-1] AS DOUBLE) AS last_item FROM embeddings")
+def packed_roundtrip(s, d):
+    """Embeddings as packed vectors of 32-bit floats and back."""
+    e = EMB(s, d).select("vec_id", K.packed("embedding", "f32").alias("b"))
+    back = e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), K.unpacked("b").alias("t"))
+    return back.select("vec_id", "n_bytes", "t.element", F.size("t.dims").cast("long").alias("tensor_rank"), F.get("t.dims", F.lit(0)).cast("long").alias("dim0"), F.get("t.data", F.lit(0)).alias("first_item"), F.element_at("t.data", -1).alias("last_item"))
+
+
+_ODD_BITS = "(SELECT p_partkey, CAST(p_partkey % 70 AS INTEGER) AS n FROM part)"
+
+
+@query(
+    "SELECT p_partkey, lower(CASE WHEN n = 0 THEN '0000080000000000' WHEN strlen(c) % 16 = 0 THEN '0008' || '0800' || lpad(to_hex(strlen(c) // 16), 2, '0') || '000000' || c "
+    "ELSE '00' || lpad(to_hex(8 + 8 - (strlen(c) // 2) % 8), 2, '0') || '0800' || lpad(to_hex(strlen(c) // 16 + 1), 2, '0') || '000000' || c || repeat('00', CAST(8 - (strlen(c) // 2) % 8 AS INTEGER)) END) AS form, CAST(n AS BIGINT) AS n_bits "
+    "FROM (SELECT p_partkey, n, lpad(to_hex((8 - n % 8) % 8), 2, '0') || coalesce(list_aggregate(list_transform(range(0, (n + 7) // 8), lambda i: lpad(to_hex(list_sum(list_transform(range(0, 8), lambda b: CASE WHEN i * 8 + b < n AND (p_partkey + i * 8 + b) % 3 = 0 THEN 1 << CAST(7 - b AS INTEGER) ELSE 0 END))), 2, '0')), 'string_agg', ''), '') AS c FROM " + _ODD_BITS + ")"
+)
+def bits_form(s, d):
+    """Bit vectors of 0 to 69 bits in their binary form, in hex, and their length when read back."""
+    bits = F.when(F.col("n") == 0, F.array().cast("array<boolean>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (F.col("p_partkey") + i) % 3 == 0))
+    b = PART(s, d).select("p_partkey", (F.col("p_partkey") % 70).cast("int").alias("n")).select("p_partkey", K.packed_bits(bits).alias("b"))
+    return b.select("p_partkey", F.when(F.octet_length("b") == 8, "0000080000000000").otherwise(F.lower(F.hex("b"))).alias("form"), F.size(K.unpacked_bits("b")).cast("long").alias("n_bits"))
+
+
 def _tuples(s, d):
     return NAT(s, d).select(F.struct(F.col("n_nationkey").cast("long").alias("_1"), F.col("n_name").alias("_2"), F.col("n_regionkey").cast("long").alias("_3")).alias("t"))
 
@@ -282,8 +317,8 @@ def obj_nth(s, d):
 
 @query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def obj_fields(s, d):
-    EV(s, d).select("event_id", V.parsed("props").alias("v")).createOrReplaceTempView("__props")
-    return s.sql("SELECT event_id, key AS name, CAST(value AS STRING) AS value FROM __props, LATERAL variant_explode(v)")
+    fields = F.map_entries(F.try_variant_get(V.parsed("props"), "$", "map<string,string>"))
+    return EV(s, d).select("event_id", F.explode(fields).alias("f")).select("event_id", F.col("f.key").alias("name"), F.col("f.value").alias("value"))
 
 
 @query("SELECT n_nationkey AS id, '{\"type_name\":\"Nation\",\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS record FROM (SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, n_regionkey FROM nation)")
@@ -296,6 +331,20 @@ def obj_type_name(s, d):
     return obj_build(s, d).groupBy(V.field(V.parsed("record"), "type_name", "string").alias("type_name")).agg(F.count("*").alias("n"))
 
 
+_RECORD = (
+    "CASE CAST(event_id % 6 AS INT) WHEN 0 THEN '{\"type_name\":\"Event\",\"id\":1,\"kind\":\"a\"}' WHEN 1 THEN '{\"type_name\":\"Other\",\"id\":1,\"kind\":\"a\"}' WHEN 2 THEN '{\"type_name\":\"Event\",\"id\":1}' "
+    "WHEN 3 THEN '{\"type_name\":\"Event\",\"id\":1,\"kind\":\"a\",\"more\":2}' WHEN 4 THEN concat('[', CAST(event_id AS STRING), ']') ELSE '{oops' END"
+)
+_RECORD_ERRORS = "CASE event_id % 6 WHEN 1 THEN 'wrong type: Other' WHEN 2 THEN 'missing field: kind' WHEN 4 THEN 'not a record' WHEN 5 THEN 'malformed'"
+
+
+@query(f"SELECT event_id, {_RECORD_ERRORS} END AS loose, {_RECORD_ERRORS} WHEN 3 THEN 'unexpected field: more' END AS strict FROM events")
+def record_checked(s, d):
+    """What keeps a value from being a record of a type, with unknown fields passed over and in strict mode."""
+    e = EV(s, d).select("event_id", F.expr(_RECORD).alias("j"))
+    return e.select("event_id", *[V.record_error("j", "Event", ["id", "kind"], strict).alias(a) for strict, a in ((False, "loose"), (True, "strict"))])
+
+
 @query("SELECT doc_id, strlen(left(text, 256)) <= 255 AS fits FROM documents")
 def obj_name_limit(s, d):
     return DOC(s, d).select("doc_id", (F.octet_length(F.left("text", F.lit(256))) <= 255).alias("fits"))
@@ -376,6 +425,31 @@ def doc_chain(s, d):
     return D.depths(_docs(s, d))
 
 
+@query(_DOCS + "SELECT id, seq AS parent_seq, body || '!' AS body, CAST(1 AS BIGINT) AS n_prev, doc_hash AS parent, sha256('tx|u' || seq) AS from_tx FROM docs WHERE doc_hash NOT IN (SELECT unnest(prev) FROM docs)")
+def doc_update(s, d):
+    """A new body for every head, which takes over the id and replaces that head."""
+    docs = _docs(s, d)
+    changes = D.heads(docs).select("doc_hash", F.concat("body", F.lit("!")).alias("body"), F.sha2(F.concat(F.lit("tx|u"), F.col("seq").cast("string")), 256).alias("from_tx"))
+    after = D.update(docs, changes).select("id", "body", F.size("prev_versions").cast("long").alias("n_prev"), F.get("prev_versions", F.lit(0)).alias("p"))
+    return after.select("id", "body", "n_prev", F.col("p.document").alias("parent"), F.col("p.from_tx").alias("from_tx")).join(docs.select(F.col("doc_hash").alias("parent"), F.col("seq").alias("parent_seq")), "parent")
+
+
+@query("SELECT user_id AS id, count(*) AS n_prev, sha256(string_agg(h, ',' ORDER BY h)) AS replaced FROM (SELECT user_id, sha256(props || event_id) AS h FROM events) GROUP BY 1")
+def doc_replace(s, d):
+    """One document for each user in place of all of that user's events."""
+    ref = D.version(F.sha2(F.concat("props", F.col("event_id").cast("string")), 256), F.sha2(F.lit("tx"), 256))
+    rows = EV(s, d).groupBy("user_id").agg(F.sort_array(F.collect_list(ref)).alias("old")).withColumn("body", F.lit("merged"))
+    made = D.replace(rows, "user_id", "body", "old")
+    return made.select("id", F.size("prev_versions").cast("long").alias("n_prev"), F.sha2(F.array_join("prev_versions.document", ","), 256).alias("replaced"))
+
+
+@query(_DOCS + "SELECT CAST(id AS VARCHAR) AS id, seq, body, CAST(len(prev) AS BIGINT) AS n_prev, coalesce(prev[1], '') AS first_prev FROM docs")
+def doc_form(s, d):
+    """Documents in their binary form and back."""
+    back = _docs(s, d).select("seq", K.decoded_document(K.encoded_document("id", "body", "prev_versions")).alias("d"))
+    return back.select("d.id", "seq", "d.body", F.size("d.prev_versions").cast("long").alias("n_prev"), F.coalesce(F.get("d.prev_versions.document", F.lit(0)), F.lit("")).alias("first_prev"))
+
+
 def _log(s, d):
     obj = F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey"), 256)
     tx = F.sha2(F.concat(F.lit("tx|"), F.col("l_orderkey").cast("string")), 256)
@@ -412,8 +486,33 @@ def txlog_heads(s, d):
     from pyspark.sql import Window
 
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    log = ORD(s, d).select(F.col("o_orderkey").alias("tx_hash"), F.array_compact(F.array(before)).alias("previous_txs"))
-    return X.heads(log).select(F.col("tx_hash").alias("o_orderkey"))
+    parents = ORD(s, d).select(F.col("o_orderkey").alias("tx_hash"), before.alias("previous_tx"))
+    changes = ORD(s, d).select(F.col("o_orderkey").alias("tx_hash"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("object_hash"), F.lit(False).alias("deletes"), F.lit(None).cast("string").alias("source_tx"))
+    return X.heads(X.build(changes, parents=parents)).select(F.col("tx_hash").alias("o_orderkey"))
+
+
+@query(
+    "SELECT s_suppkey, sha256('suppliers') AS collection, CAST(s_suppkey % 4 AS BIGINT) AS n_prev, CAST(1 + s_suppkey % 3 AS BIGINT) AS n_added, CAST(s_suppkey % 2 AS BIGINT) AS n_deleted, CAST(1 AS BIGINT) AS n_extents, "
+    "CASE WHEN s_suppkey % 2 = 1 THEN sha256('tx|' || s_suppkey) END AS deleted_from, s_suppkey % 5 <> 2 AS sig_valid FROM supplier"
+)
+def txlog_form(s, d):
+    """Signed transactions with all their fields in the binary form and back; one in five is changed on the way."""
+    h = lambda *x: F.sha2(F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x]), 256)
+    key = F.col("s_suppkey")
+    some = lambda n, what: F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: h(what, key, "|", i)))
+    none = F.array().cast("array<struct<object_hash: string, source_tx: string>>")
+    log = table(s, d, "supplier").select(
+        "s_suppkey", F.sha2(F.lit("suppliers"), 256).alias("collection"), some(key % 4, "p").alias("previous_txs"), some(1 + key % 3, "a").alias("values_added"),
+        F.when(key % 2 == 1, F.array(F.struct(h("o", key).alias("object_hash"), h("tx|", key).alias("source_tx")))).otherwise(none).alias("values_deleted"),
+        some(F.lit(1), "e").alias("extents_added"), none.alias("extents_deleted"),
+    )
+    sent = log.select("s_suppkey", X.encoded(log, F.lit(bytes(range(32)))).alias("b"))
+    # a changed byte of the first hash added: 8 of the header, 16, 64, and what comes before it
+    at = (F.lit(89) + 32 * (key % 4)).cast("int")
+    flipped = F.concat(F.substr("b", F.lit(1), at - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substr("b", at, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(1))), 2, "0")), F.substr("b", at + 1, F.octet_length("b") - at))
+    got = sent.select("s_suppkey", X.decoded(F.when(key % 5 == 2, flipped).otherwise(F.col("b"))).alias("t"))
+    n = lambda c: F.size(f"t.{c}").cast("long")
+    return got.select("s_suppkey", "t.collection", n("previous_txs").alias("n_prev"), n("values_added").alias("n_added"), n("values_deleted").alias("n_deleted"), n("extents_added").alias("n_extents"), F.get("t.values_deleted.source_tx", F.lit(0)).alias("deleted_from"), "t.sig_valid")
 
 
 # E: equality and order; each emits the place of every row, so the order itself is compared
@@ -423,29 +522,55 @@ def _sorted(df, order, *keep):
     return row_numbers(df, order).select(*keep, "rn")
 
 
-@query(f"SELECT event_id, row_number() OVER (ORDER BY {RANK_SQL}, j, event_id) AS rn FROM (SELECT event_id, j, {KIND_SQL} AS k FROM (SELECT event_id, {MIXED} AS j FROM events))")
-def sort_byte_order(s, d):
-    r = F.when(F.col("k") == "Float", 2).otherwise(V.rank_of(F.col("k")))
-    return _sorted(mixed(s, d).select("event_id", "j", r.alias("r")), ["r", "j", "event_id"], "event_id")
+_BYTES = "CASE CAST(event_id % 4 AS INT) WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat('-', CAST(event_id AS STRING)) WHEN 2 THEN concat('\"', event_type, '\"') ELSE 'true' END"
+_LE = "substr({h}, 7, 2) || substr({h}, 5, 2) || substr({h}, 3, 2) || substr({h}, 1, 2)"
 
 
-_DYN = f"SELECT event_id, {RANK_SQL} AS r, CASE WHEN k IN ('SignedInt', 'Float') THEN CAST(j AS DOUBLE) END AS num, CASE WHEN k NOT IN ('SignedInt', 'Float') THEN j END AS txt FROM (SELECT event_id, j, {KIND_SQL} AS k FROM (SELECT event_id, {MIXED} AS j FROM events))"
+@query(
+    "SELECT event_id, row_number() OVER (ORDER BY t, c, event_id) AS rn FROM (SELECT event_id, CASE event_id % 4 WHEN 2 THEN '0C00' WHEN 3 THEN '0100' ELSE '0200' END AS t, "
+    "CASE event_id % 4 WHEN 2 THEN upper(hex(event_type)) WHEN 3 THEN '01000000' ELSE upper(" + _LE.format(h="h") + ") END AS c "
+    "FROM (SELECT *, lpad(to_hex((CASE WHEN event_id % 4 = 1 THEN -event_id ELSE event_id END) & 4294967295), 8, '0') AS h FROM events))"
+)
+def sort_byte_order(s, d):
+    return _sorted(EV(s, d).select("event_id", O.order_key(F.expr(_BYTES), "bytes").alias("key")), ["key", "event_id"], "event_id")
+
+
+_ITEM = "{{'c': CASE json_type({x}) WHEN 'VARCHAR' THEN 12 ELSE 2 END, 'n': CASE WHEN json_type({x}) <> 'VARCHAR' THEN CAST({x} AS DECIMAL(38,10)) ELSE 0 END, 's': CASE WHEN json_type({x}) = 'VARCHAR' THEN icu_sort_key(json_extract_string({x}, '$'), 'root') ELSE '' END}}"
+_ITEMS = "list_transform(json_extract(<j>, '$[*]'), lambda x: " + _ITEM.format(x="x") + ")"
+_PART = "json_extract(j::JSON, '$.' || name)"
+#: The order's parts, each of its own type: numbers as decimals, texts as collation keys, lists and records as lists of structs.
+_DYN = (
+    f"SELECT event_id, {RANK_SQL} AS r, CASE WHEN k IN ('SignedInt', 'UnsignedInt', 'Float') THEN CAST(j AS DECIMAL(38,10)) ELSE 0 END AS num, "
+    "CASE WHEN k = 'String' THEN icu_sort_key(json_extract_string(j::JSON, '$'), 'root') ELSE '' END AS txt, "
+    f"CASE WHEN k = 'Vec' THEN {_ITEMS.replace('<j>', 'j::JSON')} ELSE [] END AS items, "
+    "CASE WHEN k = 'Object' THEN list_transform(list_sort(json_keys(j::JSON)), lambda name: {'name': name, 'c': CASE json_type(" + _PART + ") WHEN 'ARRAY' THEN 6 ELSE 2 END, "
+    "'n': CASE WHEN json_type(" + _PART + ") <> 'ARRAY' THEN CAST(" + _PART + " AS DECIMAL(38,10)) ELSE 0 END, 'l': CASE WHEN json_type(" + _PART + ") = 'ARRAY' THEN " + _ITEMS.replace('<j>', _PART) + " ELSE [] END}) ELSE [] END AS fields "
+    f"FROM (SELECT event_id, j, {KIND_SQL} AS k FROM (SELECT event_id, {MIXED} AS j FROM events))"
+)
 
 
 def _dynamic(s, d):
-    number = F.col("k").isin("SignedInt", "Float")
-    r = F.when(number, 2).otherwise(V.rank_of(F.col("k")))
-    return mixed(s, d).select("event_id", r.alias("r"), F.when(number, F.col("j").try_cast("double")).alias("num"), F.when(~F.coalesce(number, F.lit(False)), F.col("j")).alias("txt"))
+    r = F.when(F.col("k").isin("SignedInt", "UnsignedInt", "Float"), 2).otherwise(V.rank_of(F.col("k")))
+    return mixed(s, d).select("event_id", r.alias("r"), O.sort_key("v").alias("key"))
 
 
-@query(f"SELECT event_id, row_number() OVER (ORDER BY r, num NULLS FIRST, txt NULLS FIRST, event_id) AS rn FROM ({_DYN})".replace("CASE WHEN k NOT IN ('SignedInt', 'Float') THEN j END", "CASE WHEN k IS NULL OR k NOT IN ('SignedInt', 'Float') THEN j END"))
+@query(f"SELECT event_id, row_number() OVER (ORDER BY r, num, txt, items, fields, event_id) AS rn FROM ({_DYN})")
 def sort_dynamic(s, d):
-    return _sorted(_dynamic(s, d), ["r", "num", "txt", "event_id"], "event_id")
+    return _sorted(_dynamic(s, d), ["key", "event_id"], "event_id")
 
 
-@query(f"SELECT event_id, r FROM ({_DYN}) ORDER BY r, num NULLS FIRST, txt NULLS FIRST, event_id LIMIT 25".replace("CASE WHEN k NOT IN ('SignedInt', 'Float') THEN j END", "CASE WHEN k IS NULL OR k NOT IN ('SignedInt', 'Float') THEN j END"))
+@query(f"SELECT event_id, r FROM ({_DYN}) ORDER BY r, num, txt, items, fields, event_id LIMIT 25")
 def topk_dynamic(s, d):
-    return _dynamic(s, d).orderBy("r", F.col("num").asc_nulls_first(), F.col("txt").asc_nulls_first(), "event_id").select("event_id", "r").limit(25)
+    return _dynamic(s, d).orderBy("key", "event_id").select("event_id", "r").limit(25)
+
+
+_PAIR = "CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN CAST(9007199254740990 + p_size % 5 AS STRING) WHEN 1 THEN concat('1234567890123456789', CAST(p_size % 10 AS STRING)) ELSE concat('-', CAST(p_size AS STRING), '.25') END"
+
+
+@query(f"SELECT p_partkey, CAST(sign(CAST(a AS DECIMAL(38,4)) - CAST(b AS DECIMAL(38,4))) AS INTEGER) AS cmp FROM (SELECT p_partkey, {_PAIR} AS a, {_PAIR.replace('p_size', '(p_size + 1)')} AS b FROM part)")
+def cmp_exact_numeric(s, d):
+    key = lambda t: O.sort_key(V.parsed(F.expr(t)))
+    return PART(s, d).select("p_partkey", O.compared(key(_PAIR), key(_PAIR.replace("p_size", "(p_size + 1)"))).alias("cmp"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) < p_retailprice / 40 AS less, CAST(p_size AS DOUBLE) = p_retailprice / 40 AS equal FROM part")
@@ -460,14 +585,9 @@ def sort_float_total(s, d):
     return _sorted(EV(s, d).select("event_id", x.alias("x")).withColumn("sign", (F.col("x").cast("string") != "-0.0").cast("int")), ["x", "sign", "event_id"], "event_id")
 
 
-_NAMES = "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name FROM nation UNION ALL SELECT n_nationkey + 100, upper(n_name) FROM nation UNION ALL SELECT n_nationkey + 200, lower(n_name) FROM nation"
-
-
-@query(f"SELECT CAST(k AS BIGINT) AS k, row_number() OVER (ORDER BY lower(name), name DESC, k) AS rn FROM ({_NAMES})")
+@query("SELECT doc_id, row_number() OVER (ORDER BY icu_sort_key(text, 'root') NULLS FIRST, doc_id) AS rn FROM documents")
 def sort_collated(s, d):
-    NAT(s, d).createOrReplaceTempView("nation")
-    names = s.sql(f"SELECT CAST(k AS BIGINT) AS k, name FROM ({_NAMES})")
-    return _sorted(names, ["name COLLATE UNICODE", "k"], "k")
+    return _sorted(DOC(s, d).select("doc_id", O.collation_key("text").alias("key")), ["key", "doc_id"], "doc_id")
 
 
 @query("SELECT p_partkey, nfc_normalize('é' || p_name) = nfc_normalize('e' || chr(769) || p_name) AS same FROM part")
@@ -522,6 +642,20 @@ def sort_uuid(s, d):
     return _sorted(EV(s, d).select("event_id", F.unhex(F.md5(F.col("event_id").cast("string").cast("binary"))).alias("u")), ["u", "event_id"], "event_id")
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END, CASE WHEN p_partkey % 2 = 0 THEN md5(p_name) ELSE sha256(p_name) END, p_partkey) AS rn FROM part")
+def sort_hash(s, d):
+    """Digests by algorithm, then by their bytes."""
+    h = F.when(F.col("p_partkey") % 2 == 0, F.struct(F.lit(1).alias("algo"), F.unhex(F.md5("p_name")).alias("digest"))).otherwise(F.struct(F.lit(3).alias("algo"), F.unhex(F.sha2("p_name", 256)).alias("digest")))
+    return _sorted(PART(s, d).select("p_partkey", h.alias("h")), ["h", "p_partkey"], "p_partkey")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY md5(CAST(c_nationkey AS VARCHAR)), sha256(c_name), c_custkey) AS rn FROM customer")
+def sort_password(s, d):
+    """Stored passwords by algorithm, salt and digest."""
+    p = F.struct(F.lit("argon2id").alias("algo"), F.unhex(F.md5(F.col("c_nationkey").cast("string").cast("binary"))).alias("salt"), F.unhex(F.sha2("c_name", 256)).alias("digest"))
+    return _sorted(CUST(s, d).select("c_custkey", p.alias("p")), ["p", "c_custkey"], "c_custkey")
+
+
 @query("SELECT o_orderkey, a = list_sort(a) AS is_sorted FROM (SELECT o_orderkey, [o_orderkey % 7, o_custkey % 5, o_orderkey % 3] AS a FROM orders)")
 def is_sorted(s, d):
     a = F.array(F.col("o_orderkey") % 7, F.col("o_custkey") % 5, F.col("o_orderkey") % 3)
@@ -552,7 +686,8 @@ def join_hash_prefix(s, d):
 
 @query(f"SELECT {RANK_SQL} AS type_rank, count(*) AS n FROM (SELECT {KIND_SQL} AS k FROM (SELECT {MIXED} AS j FROM events)) GROUP BY 1")
 def count_by_type(s, d):
-    return _dynamic(s, d).groupBy(F.col("r").alias("type_rank")).agg(F.count("*").alias("n"))
+    r = F.when(F.col("k").isin("SignedInt", "UnsignedInt", "Float"), 2).otherwise(V.rank_of(F.col("k")))
+    return mixed(s, d).groupBy(r.alias("type_rank")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT sha256(props) AS content_hash, count(*) AS n FROM events GROUP BY 1")
@@ -583,19 +718,39 @@ def hash_sha256(s, d):
     return PART(s, d).select("p_partkey", F.sha2("p_name", 256).alias("h"))
 
 
-@query()
+#: The words that part names are made of, for digests that DuckDB cannot work out.
+_FIRST, _SECOND = "small large new old red blue hot cold".split(), "ring widget gear bolt plate rod gizmo anvil".split()
+
+
+def _digest_sql(digest) -> str:
+    """SQL with the digest of each name as a literal, from another implementation than the query's."""
+    names = [f"{a} {b}" for a in _FIRST for b in _SECOND]
+    return "SELECT p_partkey, h FROM part JOIN (VALUES " + ", ".join(f"('{n}', '{digest(n.encode()).hex()}')" for n in names) + ") AS t(p_name, h) USING (p_name)"
+
+
+@query(_digest_sql(lambda b: hashlib.sha3_256(b).digest()))
 def hash_sha3(s, d):
-    return PART(s, d).select("p_partkey", H.sha3_256(F.encode("p_name", "UTF-8")).alias("h"))
+    return PART(s, d).select("p_partkey", H.sha3_256_text("p_name").alias("h"))
 
 
-@query()
+@query(_digest_sql(primitives.blake3))
 def hash_blake3(s, d):
-    return NAT(s, d).select(F.col("n_nationkey").cast("long"), H.blake3_256(F.encode("n_name", "UTF-8")).alias("h"))
+    return PART(s, d).select("p_partkey", H.blake3_256(F.encode("p_name", "UTF-8")).alias("h"))
 
 
-@query("SELECT n_nationkey AS id, sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}') AS content_hash FROM nation")
+@query("SELECT doc_id, md5(coalesce(source, '') || coalesce(text, '')) AS digest, repeat('00', 20) AS none FROM documents")
+def hash_parts(s, d):
+    """One digest over several parts, and the digest that stands for none."""
+    h = H.hash_of("MD5", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
+    return DOC(s, d).select("doc_id", h["digest"].alias("digest"), H.zero_hash("SHA1")["digest"].alias("none"))
+
+
+_JSON_TEXT = "replace(replace(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+
+
+@query(f"SELECT doc_id, sha256('{{\"doc_id\":' || doc_id || CASE WHEN text IS NULL THEN '' ELSE ',\"text\":\"' || {_JSON_TEXT} || '\"' END || '}}') AS content_hash FROM documents")
 def content_hash(s, d):
-    return NAT(s, d).select(F.col("n_nationkey").alias("id"), H.content_hash("n_nationkey", "n_name").alias("content_hash"))
+    return DOC(s, d).select("doc_id", H.content_hash("doc_id", "text").alias("content_hash"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN md5(p_name) END AS as_md5 FROM part")
@@ -640,28 +795,44 @@ def bloom_params(s, d):
     return s.createDataFrame([(n, bits, hashes)], "n long, bits long, hashes long")
 
 
-BLOOM = (1 << 16, 7)
-_POS = "SELECT DISTINCT (('0x' || substr(h, 1, 7))::BIGINT + i * ('0x' || substr(h, 8, 7))::BIGINT) % 65536 AS pos FROM (SELECT md5(CAST({key} AS VARCHAR)) AS h FROM {table}), (SELECT unnest(range(7)) AS i)"
+#: The filter's size in SQL: bits and hashes for the number of keys at one in a hundred.
+_SIZED = "(SELECT CAST(ceil(ceil(-n * ln(0.01) / pow(ln(2), 2)) / 256) * 256 AS BIGINT) AS m, CAST(round(-ln(0.01) / ln(2)) AS BIGINT) AS k FROM (SELECT count(*) AS n FROM part))"
+_POS = "SELECT DISTINCT (('0x' || substr(h, 1, 7))::BIGINT + i * ('0x' || substr(h, 8, 7))::BIGINT) % m AS pos FROM (SELECT md5(CAST(p_partkey * 2 AS VARCHAR)) AS h FROM part), (SELECT m, unnest(range(k)) AS i FROM " + _SIZED + ")"
 
 
 def _bloom(s, d):
-    return PART(s, d).select(F.explode(H.bloom_positions(F.col("p_partkey") * 2, *BLOOM)).alias("pos")).distinct()
+    """Positions of the bits of twice each part key, with bits and hashes for their number."""
+    size = H.bloom_size(PART(s, d).count(), 0.01)
+    return PART(s, d).select(F.explode(H.bloom_positions(F.col("p_partkey") * 2, *size)).alias("pos")).distinct(), size
 
 
-@query(_POS.format(key="p_partkey * 2", table="part"))
+@query(_POS)
 def bloom_build(s, d):
-    return _bloom(s, d)
+    return _bloom(s, d)[0]
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS bits_set FROM (" + _POS.format(key="p_partkey * 2", table="part") + ")")
+@query("SELECT CAST(count(*) AS BIGINT) AS bits_set FROM (" + _POS + ")")
 def bloom_occupancy(s, d):
-    return _bloom(s, d).agg(F.count("*").alias("bits_set"))
+    return _bloom(s, d)[0].agg(F.count("*").alias("bits_set"))
 
 
-@query("SELECT k FROM (SELECT k, count(*) AS n FROM (SELECT k, (('0x' || substr(h, 1, 7))::BIGINT + i * ('0x' || substr(h, 8, 7))::BIGINT) % 65536 AS pos FROM (SELECT p_partkey AS k, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part), (SELECT unnest(range(7)) AS i)) JOIN (" + _POS.format(key="p_partkey * 2", table="part") + ") USING (pos) GROUP BY k) WHERE n = 7")
+@query("SELECT k FROM (SELECT k, hashes, count(*) AS n FROM (SELECT p_partkey AS k, hashes, (('0x' || substr(h, 1, 7))::BIGINT + i * ('0x' || substr(h, 8, 7))::BIGINT) % m AS pos FROM (SELECT p_partkey, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part), (SELECT m, k AS hashes, unnest(range(k)) AS i FROM " + _SIZED + ")) JOIN (" + _POS + ") USING (pos) GROUP BY k, hashes) WHERE n = hashes")
 def bloom_check(s, d):
-    asked = PART(s, d).select(F.col("p_partkey").alias("k"), F.explode(H.bloom_positions("p_partkey", *BLOOM)).alias("pos"))
-    return asked.join(_bloom(s, d), "pos").groupBy("k").count().where(F.col("count") == BLOOM[1]).select("k")
+    """Part keys that the filter may hold: one row a key meets the filter as one value, whose size follows the number of keys."""
+    at, (bits, hashes) = _bloom(s, d)
+    words = at.groupBy(F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (63 - F.col("pos") % 64).cast("int"))).alias("bits"))
+    data = F.lit(bytearray(S13.as_bytes(words, bits)))
+    key = F.transform(H.bloom_positions("p_partkey", bits, hashes), lambda p: F.conv(F.hex(F.substr(data, (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), (7 - p % 8).cast("int"))) != 0)
+    return PART(s, d).where(F.forall(key, lambda x: x)).select(F.col("p_partkey").alias("k"))
+
+
+@query("SELECT p_partkey, true AS found FROM part")
+def bloom_sip_members(s, d):
+    """Every key that was added to a SipHash-1-3 filter is found in it."""
+    bits, hashes = H.bloom_size(PART(s, d).count(), 0.01)
+    key = F.encode(F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")), "UTF-8")
+    data = S13.as_bytes(S13.build(PART(s, d).select(key.alias("key")), "key", bits, hashes), bits)
+    return PART(s, d).select("p_partkey", S13.contains(key, data, hashes).alias("found"))
 
 
 # I: integrity and confidentiality
@@ -720,11 +891,11 @@ def render_json(s, d):
     return EV(s, d).select("event_id", V.parsed("props").cast("string").alias("shown"))
 
 
-_A, _B = "SELECT sha256(props) AS h FROM events WHERE event_type = 'click'", "SELECT sha256(props) AS h FROM events WHERE event_type = 'view'"
+_A, _B = "SELECT sha256(props || user_id) AS h FROM events WHERE event_type = 'click'", "SELECT sha256(props || user_id) AS h FROM events WHERE event_type = 'view'"
 
 
 def _sets(s, d):
-    return [EV(s, d).where(F.col("event_type") == t).select(F.sha2("props", 256).alias("h")) for t in ("click", "view")]
+    return [EV(s, d).where(F.col("event_type") == t).select(F.sha2(F.concat("props", F.col("user_id").cast("string")), 256).alias("h")) for t in ("click", "view")]
 
 
 @query(f"{_A} UNION {_B}")
