@@ -551,7 +551,7 @@ _DYN = (
 
 def _dynamic(s, d):
     r = F.when(F.col("k").isin("SignedInt", "UnsignedInt", "Float"), 2).otherwise(V.rank_of(F.col("k")))
-    return mixed(s, d).select("event_id", r.alias("r"), O.sort_key("v").alias("key"))
+    return mixed(s, d).select("event_id", r.alias("r"), O.sort_key("v", depth=2).alias("key"))
 
 
 @query(f"SELECT event_id, row_number() OVER (ORDER BY r, num, txt, items, fields, event_id) AS rn FROM ({_DYN})")
@@ -569,7 +569,7 @@ _PAIR = "CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN CAST(9007199254740990 + p_s
 
 @query(f"SELECT p_partkey, CAST(sign(CAST(a AS DECIMAL(38,4)) - CAST(b AS DECIMAL(38,4))) AS INTEGER) AS cmp FROM (SELECT p_partkey, {_PAIR} AS a, {_PAIR.replace('p_size', '(p_size + 1)')} AS b FROM part)")
 def cmp_exact_numeric(s, d):
-    key = lambda t: O.sort_key(V.parsed(F.expr(t)))
+    key = lambda t: O.sort_key(V.parsed(F.expr(t)), depth=0)
     return PART(s, d).select("p_partkey", O.compared(key(_PAIR), key(_PAIR.replace("p_size", "(p_size + 1)"))).alias("cmp"))
 
 
