@@ -290,8 +290,8 @@ def pixels(coefs: np.ndarray, quant: np.ndarray) -> np.ndarray:
     """(blocks, 64) luma samples 0..255 of zigzag coefficients."""
     x = np.empty(coefs.shape, np.float32)
     x[:, ZIGZAG] = coefs * quant
-    x = (x.reshape(-1, 8) @ DCT).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ DCT
-    return np.clip(x.reshape(-1, 64) + 128.5, 0, 255).astype(np.uint8)
+    x = (x.reshape(-1, 8) @ DCT).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ DCT  # now column by column
+    return np.clip(x + 128.5, 0, 255).astype(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
 
 
 def histogram(luma: np.ndarray, bins: int = 16) -> np.ndarray:
