@@ -6,18 +6,22 @@ suffix of the prefix there (longest first, by its suffix links).  Such a token
 is the last one if it is what BPE makes of its own characters and BPE would
 keep it apart from the last token of the prefix before it; that is decided by
 undoing merges on both sides of the seam.  Back-pointers give the ids.
+``prefix_dp`` does the same for all words of a batch at once; words that are
+long or not of plain letters take this way.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
-from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches, table
@@ -180,96 +184,82 @@ class Encoder:
             return self.rule.findall(text.lower())
         return [w.translate(self.bytes).encode("latin-1").decode() for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(self.lib.normalizer.normalize_str(text))]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        # the separators 1C to 1F are no white space to the library; other cuts are safe everywhere
-        return text.split() if not SEPARATORS.search(text) else text.split(" ")
-
-
-SEPARATORS = re.compile("[\x1c-\x1f]")
-LAST_PLAIN = "\u024f"
-
 
-class Held(dict):
-    """Piece of text to join([make(ids of a word), ...]), worked out when first asked for.
+@lru_cache(maxsize=4)
+def encoder(path: str, by_library: bool = False) -> Encoder:
+    return Encoder(path, by_library)
 
-    Pieces and words are held in two generations of bounded size.
-    """
 
-    def __init__(self, encoder: Encoder, make, join):
-        super().__init__()
-        self.encoder, self.make, self.join = encoder, make, join
-        self.words, self.old_words, self.old = {}, {}, {}
-
-    def word(self, w):
-        v = self.words.get(w)
-        if v is None:
-            v = self.old_words.get(w)
-            if v is None:
-                v = self.make(self.encoder.ids(w))
-            if len(self.words) >= HELD:
-                self.words, self.old_words = {}, self.words
-            self.words[w] = v
-        return v
-
-    def __missing__(self, text):
-        v = self.old.get(text)
-        if v is None:
-            low = text.lower()
-            if low.isalpha() and max(low) <= LAST_PLAIN:
-                v = self.word(low)
-            elif low[-1:] in (".", ",") and low[:-1].isalpha() and max(low) <= LAST_PLAIN:
-                v = self.join([self.word(low[:-1]), self.word(low[-1])])
-            else:
-                v = self.join([self.word(w) for w in self.encoder.split(text)])
-        if len(text) <= 64:
-            if len(self) >= HELD:
-                self.old = dict(self)
-                self.clear()
-            self[text] = v
-        return v
+class Spelling:
+    """What stands for each id, joined by spaces."""
 
+    AT_ONCE = 1 << 16
 
-@lru_cache(maxsize=4)
-def encoder(path: str, by_library: bool = False) -> Encoder:
-    return Encoder(path, by_library)
+    def __init__(self, cells: list[bytes]):
+        self.raw = np.frombuffer(b"".join([c + b" " for c in cells]), np.uint8)
+        self.lens = np.array([len(c) + 1 for c in cells])
+        self.starts = np.cumsum(self.lens) - self.lens
 
+    def parts(self, ids: np.ndarray) -> Iterator[bytes]:
+        for at in range(0, len(ids), self.AT_ONCE):
+            part = ids[at : at + self.AT_ONCE]
+            lens = self.lens[part]
+            text = self.raw[np.repeat(self.starts[part] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())].tobytes()
+            yield text if at + self.AT_ONCE < len(ids) else text[:-1]
 
-def _join_described(parts):
-    parts = [p for p in parts if p[0]]
-    return sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])
+    def digest(self, ids: np.ndarray) -> str:
+        h = sha256()
+        for part in self.parts(ids):
+            h.update(part)
+        return h.hexdigest()
 
 
 @lru_cache(maxsize=4)
-def _described(path: str) -> Held:
+def spellings(path: str) -> tuple[Spelling, Spelling]:
+    """Ids in decimal, and tokens as the library's decode shows them: this vocabulary has no decoder, so names joined by spaces."""
     names = encoder(path).names
-    return Held(encoder(path), lambda ids: (len(ids), b" ".join([b"%d" % i for i in ids]), b" ".join([names[i] for i in ids])), _join_described)
+    top = 1 + max(names)
+    return Spelling([b"%d" % i for i in range(top)]), Spelling([names.get(i, b"") for i in range(top)])
 
 
 @lru_cache(maxsize=4)
-def _listed(path: str) -> Held:
-    return Held(encoder(path), tuple, lambda parts: tuple(i for p in parts for i in p))
+def prefix_ids(path: str):
+    """Ids of whole texts by the dynamic programming over prefixes."""
+    from .prefix_dp import PrefixDp
+    from .word_ids import TextIds
+
+    return TextIds(path, PrefixDp)
 
 
 def encode(text: str | None, path: str | None = None) -> list[int]:
-    held = _listed(path or default_path())
-    return [i for p in Encoder.pieces(text or "") for i in held[p]]
+    (ids,) = prefix_ids(path or default_path()).of([(text or "").encode()])
+    return ids.tolist()
 
 
 def decode(ids: list[int], path: str | None = None) -> str:
-    """The library's decode(ids, skip_special_tokens=False); this vocabulary has no decoder, so names joined by spaces."""
-    return b" ".join([encoder(path or default_path()).names[i] for i in ids]).decode()
+    """The library's decode(ids, skip_special_tokens=False)."""
+    return b"".join(spellings(path or default_path())[1].parts(np.array(ids, np.int64))).decode()
+
+
+def _texts(b: pa.RecordBatch) -> list[bytes]:
+    return [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded (string) for docs (doc_id, text); null text counts as empty."""
+    """doc_id, ids (array<int>) and decoded (string) for every row of docs (doc_id, text).
+
+    Null and empty texts have no ids; a null doc_id is a row like any other;
+    whole texts of any length are encoded; repeated rows repeat; extra columns
+    are ignored; an empty table gives none.
+    """
     path, id_type = path or default_path(), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            ids = [encode(x.as_py(), path) for x in b.column("text")]
+            ids = list(prefix_ids(path).of(_texts(b)))
+            names = spellings(path)[1]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([decode(i, path) for i in ids], pa.string())], ["doc_id", "ids", "decoded"]
+                [b.column("doc_id"), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([b"".join(names.parts(i)).decode() for i in ids], pa.string())], ["doc_id", "ids", "decoded"]
             )
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
@@ -284,15 +274,14 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path, id_type = path or default_path(), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        held, pieces = _described(path), Encoder.pieces
         for b in batches:
+            decimal, names = spellings(path)
             n, ids, plain = [], [], []
-            for x in b.column("text"):
-                got = [v for v in [held[p] for p in pieces(x.as_py() or "")] if v[0]]
-                n.append(sum([v[0] for v in got]))
-                ids.append(sha256(b" ".join([v[1] for v in got])).hexdigest())
-                plain.append(sha256(b" ".join([v[2] for v in got])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(plain)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for own in prefix_ids(path).of(_texts(b)):
+                n.append(len(own))
+                ids.append(decimal.digest(own))
+                plain.append(names.digest(own))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -66,14 +66,14 @@ class MergeRounds:
             out[odd] = np.where(self.more[at] == keys[odd], self.more_ranks[at], self.NONE)
         return out
 
-    def encode(self, raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, raw: np.ndarray, lens: np.ndarray, ended: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words (UTF-8, none empty) that stand one after the other in raw, and how many each has.
 
-        A word with a byte that the vocabulary lacks has no ids.
+        A word with a byte that the vocabulary lacks has no ids.  Without ended the words have no mark of their end.
         """
         ends = np.cumsum(lens)
         last = np.zeros(len(raw), np.int64)
-        last[ends - 1] = 1
+        last[ends - 1] = ended
         sound = np.logical_and.reduceat(self.known[last, raw], ends - lens)
         whole = np.repeat(sound, lens)
         sym, number, n_words = self.first[last[whole], raw[whole]], np.flatnonzero(sound), len(lens)
@@ -142,11 +142,12 @@ class TextIds:
     special tokens, contractions, very long words) goes to the library piece by piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, method: type = MergeRounds):
+        """method makes the ids of plain words; other words are the library model's, or PrefixBpe's for another method than merging."""
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.encoder = encoder(path, True)
-        self.rounds = MergeRounds(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
+        self.encoder = encoder(path, method is MergeRounds)
+        self.rounds = method(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
         self.held: dict[bytes, np.ndarray] = {}
         self.up = self.down = np.zeros(0, np.uint64)
 
