@@ -45,7 +45,7 @@ class DigestIndex:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        self.spark.createDataFrame([(buckets, id_type)], schema).coalesce(1).write.parquet(at)
+        self.spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(id_type).alias("id_type")).coalesce(1).write.parquet(at)
         return buckets, id_type
 
     @contextmanager
