@@ -20,8 +20,11 @@ TENSOR = row(element=TEXT, dims=T.ArrayType(T.IntegerType()), data=T.ArrayType(T
 PREVIOUS = T.ArrayType(row(document=TEXT, from_tx=TEXT))
 
 
-def packed(values, element: str = "f64") -> Column:
-    """Binary form of an array of numbers as a packed vector of one element type; null where a value does not fit it."""
+def packed(values, element: str = "f64", dims: tuple = ()) -> Column:
+    """Binary form of an array of numbers as a packed vector of one element type; null where a value does not fit it.
+
+    dims are the lengths of a tensor of which the array is the rows; null where they do not hold the array.
+    """
     if element not in wire.ELEMENTS or not wire.ELEMENTS[element][2]:
         raise ValueError(f"no column of {element}")
     code = wire.ELEMENTS[element][2]
@@ -30,7 +33,7 @@ def packed(values, element: str = "f64") -> Column:
     def pack(s: pd.Series) -> pd.Series:
         def one(x):
             try:
-                v = wire.Packed(element, tuple(float(y) for y in x) if code in "fd" else tuple(int(y) for y in x))
+                v = wire.Packed(element, tuple(float(y) for y in x) if code in "fd" else tuple(int(y) for y in x), dims)
                 return wire.encode(v)
             except (wire.Malformed, TypeError, ValueError):  # a null among them, or one too large
                 return None

@@ -13,8 +13,9 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from . import primitives as C
+from . import primitives as C, wire
 from .hashing import sha3_256
+from .packed import TEXT, row
 from .values import col
 
 AES, AGREED, PASSWORD = "aes-256", "x25519-aes-256", "password-aes-256"
@@ -45,6 +46,81 @@ def x25519_public_key(secret: pd.Series) -> pd.Series:
     return pd.Series(each(C.x25519, secret), dtype=object)
 
 
+def random_secret() -> Column:
+    """32 bytes for a new secret key, from Spark's random UUIDs; not the same at another run."""
+    part = lambda: F.unhex(F.sha2(F.concat(F.expr("uuid()"), F.expr("uuid()"), F.expr("uuid()")), 256))
+    return part()
+
+
+def ed25519_keypair(seed) -> Column:
+    """(type, public, private) of a seed of 32 bytes; null for another length."""
+    ok = F.octet_length(col(seed)) == 32
+    return F.when(ok, F.struct(F.lit("ed25519").alias("type"), ed25519_public_key(F.when(ok, col(seed))).alias("public"), col(seed).alias("private")))
+
+
+def aes_key(b) -> Column:
+    """The bytes if they are an AES-256 key, else null."""
+    return F.when(F.octet_length(col(b)) == 32, col(b))
+
+
+def encoded_key(b, type_: str) -> Column:
+    """Binary form of a key of 32 bytes; null for another length."""
+    if type_ not in wire.KEY_TYPES:
+        raise ValueError(f"one of {wire.KEY_TYPES}")
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(s: pd.Series) -> pd.Series:
+        return pd.Series([wire.encode(wire.Key(type_, bytes(x))) if x is not None and len(x) == 32 else None for x in s], dtype=object)
+
+    return encode(col(b))
+
+
+def _read(b, kind):
+    try:
+        v = None if b is None else wire.decode(bytes(b))
+    except wire.Malformed:
+        return None
+    return v if isinstance(v, kind) else None
+
+
+def decoded_key(b, type_: str) -> Column:
+    """The key's bytes; null for anything but a key of this type."""
+
+    @F.pandas_udf(T.BinaryType())
+    def decode(s: pd.Series) -> pd.Series:
+        keys = [_read(x, wire.Key) for x in s]
+        return pd.Series([k.bytes if k is not None and k.type == type_ else None for k in keys], dtype=object)
+
+    return decode(col(b))
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded_signature(t: pd.DataFrame) -> pd.Series:
+    whole = [None not in (r.public_key, r.signed_hash, r.signature) for r in t.itertuples()]
+    said = lambda x: None if x is None else wire.encode(bytes(x))
+    return pd.Series([wire.encode(wire.Signature(bytes(r.signed_hash), bytes(r.public_key), bytes(r.signature), said(r.statement))) if w else None for w, r in zip(whole, t.itertuples())], dtype=object)
+
+
+def encoded_signature(signature) -> Column:
+    """Binary form of a signature (see signed)."""
+    return _encoded_signature(col(signature))
+
+
+@F.pandas_udf(row(algorithm=TEXT, public_key=T.BinaryType(), signed_hash=T.BinaryType(), statement=T.BinaryType(), signature=T.BinaryType()))
+def _decoded_signature(s: pd.Series) -> pd.DataFrame:
+    rows = []
+    for b in s:
+        v = _read(b, wire.Signature)
+        said = wire.decode(v.statement) if v is not None and v.statement is not None else None
+        rows.append((None,) * 5 if v is None else ("ed25519", v.public_key, v.signed_hash, bytes(said.values) if said is not None else None, v.signature))
+    return pd.DataFrame(rows, columns=["algorithm", "public_key", "signed_hash", "statement", "signature"])
+
+
+def decoded_signature(b) -> Column:
+    """The signature in a binary form; nulls for anything else."""
+    return _decoded_signature(col(b))
+
+
 def _message(signed_hash, statement) -> bytes:
     return bytes(signed_hash) + (b"\0" if statement is None else b"\1" + bytes(statement))
 
@@ -160,5 +236,29 @@ def password_digest(password: pd.Series, salt: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def stored_password(password, salt) -> Column:
+    """What is kept of a password: algorithm, salt, digest and the costs."""
+    d = password_digest(col(password), col(salt))
+    costs = [F.lit(v).alias(n) for n, v in (("memory_kib", MEMORY), ("passes", PASSES), ("lanes", LANES))]
+    return F.when(d.isNotNull(), F.struct(F.lit("argon2id").alias("algorithm"), col(salt).alias("salt"), d.alias("digest"), *costs))
+
+
+def stored_matches(password, stored) -> Column:
+    """Whether a password is the one kept; false for another algorithm or other costs."""
+    p = col(stored)
+    known = (p["algorithm"] == "argon2id") & (p["memory_kib"] == MEMORY) & (p["passes"] == PASSES) & (p["lanes"] == LANES)
+    return F.coalesce(known & password_matches(password, p["salt"], p["digest"]), F.lit(False))
+
+
+def opening_error(envelope, scheme: str) -> Column:
+    """Why an envelope cannot be opened under a scheme before any key is tried: null if nothing speaks against it."""
+    e = col(envelope)
+    if scheme not in (AES, AGREED, PASSWORD):
+        raise ValueError("unknown scheme")
+    wrong = F.concat(F.lit("wrong scheme: "), F.coalesce(e["scheme"], F.lit("none")))
+    lacks = e["with"].isNull() if scheme != AES else F.lit(False)
+    return F.when(e.isNull(), "no envelope").when(~e["scheme"].eqNullSafe(F.lit(scheme)), wrong).when(lacks, "no salt or one-time key").when(F.octet_length(e["ciphertext"]) < 28, "ciphertext too short")
+
+
 def password_matches(password, salt, stored) -> Column:
     return F.coalesce(password_digest(col(password), col(salt)) == col(stored), F.lit(False))

@@ -170,10 +170,12 @@ def vec_iter_rev(s, d):
     return EMB(s, d).select("vec_id", F.posexplode(F.reverse("embedding")).alias("i", "item")).select("vec_id", F.col("i").cast("long"), F.col("item").cast("double"))
 
 
-@query("SELECT vec_id, CAST(1 AS BIGINT) AS tensor_rank, CAST(len(embedding) AS BIGINT) AS dim0 FROM embeddings")
+@query("SELECT vec_id, CAST(CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS tensor_rank, CAST(CASE WHEN vec_id % 2 = 0 THEN 8 ELSE len(embedding) END AS BIGINT) AS dim0 FROM embeddings")
 def tensor_shape(s, d):
-    dims = F.array(F.size("embedding").cast("long"))
-    return EMB(s, d).select("vec_id", F.size(dims).cast("long").alias("tensor_rank"), F.get(dims, F.lit(0)).alias("dim0"))
+    """Every other embedding as a matrix of eight rows: ranks and dimensions are read from the binary form."""
+    one, two = K.packed("embedding", "f64"), K.packed("embedding", "f64", (8, 8))
+    t = EMB(s, d).select("vec_id", K.unpacked(F.when(F.col("vec_id") % 2 == 0, two).otherwise(one)).alias("t"))
+    return t.select("vec_id", F.size("t.dims").cast("long").alias("tensor_rank"), F.get("t.dims", F.lit(0)).cast("long").alias("dim0"))
 
 
 @query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first_item, CAST(embedding[-1] AS DOUBLE) AS last_item, CAST(list_max(embedding) AS DOUBLE) AS max_item FROM embeddings")
@@ -238,9 +240,9 @@ def _tuples(s, d):
 _TUPLE = "SELECT CAST(n_nationkey AS BIGINT) AS a, n_name AS b, CAST(n_regionkey AS BIGINT) AS c FROM nation"
 
 
-@query(_TUPLE)
+@query("SELECT '{\"_1\":' || n_nationkey || ',\"_2\":\"' || n_name || '\",\"_3\":' || n_regionkey || '}' AS t FROM nation")
 def tuple_make(s, d):
-    return _tuples(s, d).select(F.col("t._1").alias("a"), F.col("t._2").alias("b"), F.col("t._3").alias("c"))
+    return _tuples(s, d).select(F.to_json("t").alias("t"))
 
 
 @query(_TUPLE)
@@ -700,6 +702,13 @@ def dedup_content(s, d):
     return EV(s, d).groupBy(F.sha2("props", 256).alias("content_hash")).agg(F.min("event_id").alias("event_id"))
 
 
+@query("SELECT count(DISTINCT l_partkey) AS parts, true AS within_tenth FROM lineitem")
+def approx_distinct(s, d):
+    """Distinct parts, and whether the sketch's estimate is within a tenth of them."""
+    both = LI(s, d).agg(F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.01).alias("about"))
+    return both.select("parts", (F.abs(F.col("about") - F.col("parts")) <= F.col("parts") / 10).alias("within_tenth"))
+
+
 # H: hashes, prefixes, Bloom filter
 
 
@@ -872,6 +881,52 @@ def signature_valid(s, d):
     return NAT(s, d).select(F.col("n_nationkey").cast("long").alias("id"), valid(tampered, sign(m)).alias("sig_valid"))
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, sha256('key ' || n_name) AS key_hex, true AS public_refused, 64 AS form_hex_len, n_nationkey % 3 <> 0 AS is_aes_key FROM nation")
+def key_form(s, d):
+    """Keys in their binary form and back; read as another type they are refused, and bytes of another length are no key."""
+    from ..functions import sealing as S
+
+    key = F.unhex(F.sha2(F.concat(F.lit("key "), F.col("n_name")), 256))
+    cut = F.when(F.col("n_nationkey") % 3 == 0, F.substring(key, 1, 31)).otherwise(key)
+    k = NAT(s, d).select(F.col("n_nationkey").cast("long").alias("id"), S.encoded_key(key, "X25519Private").alias("b"), S.aes_key(cut).isNotNull().alias("is_aes_key"))
+    return k.select("id", F.lower(F.hex(S.decoded_key("b", "X25519Private"))).alias("key_hex"), S.decoded_key("b", "X25519Public").isNull().alias("public_refused"), (F.octet_length("b") + 16).alias("form_hex_len"), "is_aes_key")
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS has_statement, true AS still_valid FROM nation")
+def signature_form(s, d):
+    """Signatures in their binary form and back, with and without a statement, still hold."""
+    from ..functions import sealing as S
+
+    key, content = F.lit(bytes(range(32))), F.encode("n_name", "UTF-8")
+    said = F.when(F.col("n_nationkey") % 2 == 0, F.encode(F.lit("seen"), "UTF-8"))
+    sent = NAT(s, d).select("n_nationkey", content.alias("content"), S.encoded_signature(S.signed(content, key, said)).alias("b"))
+    got = sent.select("n_nationkey", "content", S.decoded_signature("b").alias("s"))
+    mine = S.fingerprint(S.ed25519_public_key(key))
+    return got.select("n_nationkey", F.col("s.statement").isNotNull().alias("has_statement"), (S.signer("content", "s") == mine).alias("still_valid"))
+
+
+@query("SELECT r_regionkey, 'argon2id' AS algorithm, md5(r_name) AS salt, 19456 AS memory_kib, true AS matches, false AS other_costs FROM region")
+def password_stored(s, d):
+    """What is kept of each password, and whether it is matched; other costs are another password."""
+    from ..functions import sealing as S
+
+    word, salt = F.encode("r_name", "UTF-8"), F.unhex(F.md5(F.encode("r_name", "UTF-8")))
+    kept = REG(s, d).select("r_regionkey", word.alias("w"), S.stored_password(word, salt).alias("p"))
+    other = F.col("p").withField("passes", F.lit(9))
+    return kept.select("r_regionkey", "p.algorithm", F.lower(F.hex("p.salt")).alias("salt"), "p.memory_kib", S.stored_matches("w", "p").alias("matches"), S.stored_matches("w", other).alias("other_costs"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'wrong scheme: password-aes-256' ELSE 'no envelope' END AS error FROM customer")
+def envelope_errors(s, d):
+    """Why envelopes cannot be opened by a key."""
+    from ..functions import sealing as S
+
+    key, content = F.lit(bytes(range(32))), F.encode("c_name", "UTF-8")
+    at = F.col("c_custkey") % 3
+    box = F.when(at == 0, S.sealed(content, key)).when(at == 1, S.sealed_with_password(content, F.lit(b"word"), F.lit(bytes(16))))
+    return CUST(s, d).select("c_custkey", box.alias("e")).select("c_custkey", S.opening_error("e", S.AES).alias("error"))
+
+
 # L, M: rendering and set operations
 
 

@@ -75,12 +75,13 @@ def decoded(b):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, column: str, overwrite: bool, roll: int):
         self.path, self.column, self.overwrite, self.roll = path.removeprefix("file://"), column, overwrite, roll
+        self.job = uuid.uuid4().hex  # one for all tasks and attempts of this write
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         task, names = TaskContext.get(), []
-        stem = f"part-{task.partitionId():05d}-{uuid.uuid4().hex}"
+        stem = f"part-{task.partitionId():05d}-{self.job}-{uuid.uuid4().hex}"
         os.makedirs(self.path, exist_ok=True)
         out, size = None, 0
         for batch in iterator:
@@ -105,11 +106,16 @@ class _Writer(DataSourceArrowWriter):
             os.rename(os.path.join(self.path, "_" + n), os.path.join(self.path, n))
         for n in old:
             os.remove(os.path.join(self.path, n))
+        self._clean()
 
     def abort(self, messages):
-        for m in messages:
-            for n in m.names if m is not None else []:
-                os.remove(os.path.join(self.path, "_" + n))
+        self._clean()
+
+    def _clean(self):
+        """Removes what attempts of this write have left that are not part of it."""
+        for n in os.listdir(self.path) if os.path.isdir(self.path) else []:
+            if n.startswith("_part-") and f"-{self.job}-" in n:
+                os.remove(os.path.join(self.path, n))
 
 
 @dataclass
@@ -123,7 +129,7 @@ class ValueFiles(DataSource):
     The path is a folder mounted on the driver and all executors. Options:
     column, and roll, the size in bytes from which a task starts its next file.
     Files appear when the whole job commits; names with a leading underscore are
-    of failed attempts, and readers skip them. A null is written as the null value.
+    of attempts under way, which the job's end removes and readers skip. A null is written as the null value.
     """
 
     @classmethod
