@@ -26,9 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder for one written intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made_so_far() -> int:
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Deletes intermediate tables made since a mark (see made_so_far), but for those to keep; returns how many went.
+
+    Results that are still to be computed read these tables: call it once they have been written or read.
+    """
+    sc = spark.sparkContext
+    gone = [p for p in _made[since:] if p not in keep]
+    for p in gone:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(p)
+    return len(gone)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

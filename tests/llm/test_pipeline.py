@@ -143,3 +143,15 @@ def test_the_whole_run_is_the_stages(spark, sf):
 def test_stages_of_an_empty_table(spark, sf, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_intermediate_tables_go(spark, sf):
+    from pathlib import Path
+
+    from marlstone.llm import common
+
+    mark = common.made_so_far()
+    corpus_pipeline.run(spark, sf).write.format("noop").mode("overwrite").save()
+    left = [Path(p.removeprefix("file:")) for p in common._made[mark:]]
+    assert left and all(p.exists() for p in left) and not any("simhash" in p.name or "language_id" in p.name for p in left)
+    assert common.drop_scratch(spark, mark) == len(left) and not any(p.exists() for p in left)
