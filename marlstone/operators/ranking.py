@@ -18,14 +18,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
 
 
-def row_numbers(df: DataFrame, order: list, name: str = "rn") -> DataFrame:
+def row_numbers(df: DataFrame, order: list, name: str = "rn", costly: bool = False) -> DataFrame:
     """df with its 1-based place in the order.
 
     Rows are dealt by ranges of the order and sorted inside them; a checkpoint
     fixes that, and each range then starts after the rows of those before it.
+    Dealing by ranges reads df twice, for a sample and for the rows; with costly
+    it is written first, so that what it takes to make df is done once.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    df = df.checkpoint() if costly else df
     keys = [f"__k{i}" for i in range(len(order))]
     keyed = df.select("*", *[(F.expr(o.rsplit(" ", 1)[0]) if o.endswith((" desc", " asc")) else F.expr(o)).alias(k) for o, k in zip(order, keys)])
     by = [F.col(k).desc_nulls_last() if o.endswith(" desc") else F.col(k).asc_nulls_first() for o, k in zip(order, keys)]

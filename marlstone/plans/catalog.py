@@ -521,7 +521,7 @@ def txlog_form(s, d):
 
 
 def _sorted(df, order, *keep):
-    return row_numbers(df, order).select(*keep, "rn")
+    return row_numbers(df, order, costly=order[0] == "key").select(*keep, "rn")
 
 
 _BYTES = "CASE CAST(event_id % 4 AS INT) WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat('-', CAST(event_id AS STRING)) WHEN 2 THEN concat('\"', event_type, '\"') ELSE 'true' END"
