@@ -85,6 +85,7 @@ def depths(docs: DataFrame) -> DataFrame:
     """
     at = docs.select("doc_hash", F.get("prev_versions.document", F.lit(0)).alias("up"), F.when(F.size("prev_versions") > 0, 1).otherwise(0).cast("long").alias("depth"))
     ensure_checkpoint_dir(docs.sparkSession)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = at.checkpoint()
     done = at.where("up is null").select("doc_hash", "depth")
     while True:
@@ -94,4 +95,5 @@ def depths(docs: DataFrame) -> DataFrame:
         known = way.unionByName(done.withColumn("up", F.lit(None).cast("string")))
         above = known.select(F.col("doc_hash").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
         at = way.join(above, "up", "left").select("doc_hash", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")).checkpoint()
-        done = done.unionByName(at.where("up is null").select("doc_hash", "depth"))
+        # a union adds up partitions, of which the later rounds' hold little
+        done = done.unionByName(at.where("up is null").select("doc_hash", "depth")).coalesce(parts)
