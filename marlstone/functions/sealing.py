@@ -43,7 +43,7 @@ def ed25519_public_key(seed: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def x25519_public_key(secret: pd.Series) -> pd.Series:
-    return pd.Series(each(C.x25519, secret), dtype=object)
+    return pd.Series(each(C.x25519_public, secret), dtype=object)
 
 
 def random_secret() -> Column:
@@ -204,7 +204,10 @@ def sealed_for(content, public, sender_secret) -> Column:
 
 
 def opened_by(envelope, secret) -> Column:
-    return _opened(AGREED, envelope, fingerprint(x25519_public_key(col(secret))), _agreed(col(secret), col(envelope)["with"]))
+    """The content; the secret is agreed on only for envelopes that are for this key."""
+    e, name = col(envelope), fingerprint(x25519_public_key(col(secret)))
+    mine = (e["scheme"] == AGREED) & (e["fingerprint"] == name)
+    return _opened(AGREED, envelope, name, _agreed(F.when(mine, col(secret)), e["with"]))
 
 
 def _password_key(password, salt) -> Column:

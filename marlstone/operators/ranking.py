@@ -18,6 +18,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over spark.sql.shuffle.partitions tasks, for work that is costly by row: a small file is a single task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def row_numbers(df: DataFrame, order: list, name: str = "rn", costly: bool = False) -> DataFrame:
     """df with its 1-based place in the order.
 
