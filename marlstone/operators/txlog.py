@@ -23,7 +23,8 @@ def build(changes: DataFrame, collection=None, parents: DataFrame | None = None,
     for name, here in split.items():
         lists.append(F.sort_array(F.collect_list(F.when(here & ~F.col("deletes"), F.col("object_hash")))).alias(f"{name}_added"))
         lists.append(F.sort_array(F.collect_list(F.when(here & F.col("deletes"), F.struct("object_hash", F.col("source_tx"))))).alias(f"{name}_deleted"))
-    log = changes.groupBy("tx_hash").agg(*lists)
+    # dealt out first: lists get no shorter by grouping before the shuffle, and a hash aggregate of lists sorts all of a task's rows for that
+    log = changes.repartition("tx_hash").groupBy("tx_hash").agg(*lists)
     if parents is not None:
         before = parents.where("previous_tx is not null").groupBy("tx_hash").agg(F.sort_array(F.collect_set("previous_tx")).alias("previous_txs"))
         log = log.join(before, "tx_hash", "left").withColumn("previous_txs", F.coalesce("previous_txs", F.array().cast("array<string>")))
@@ -113,9 +114,17 @@ def extent_deletes(log: DataFrame) -> DataFrame:
 
 
 def live(log: DataFrame) -> DataFrame:
-    """What was added and not deleted: a delete removes the add of the transaction it names, and no other."""
-    gone = deletes(log).select("object_hash", F.col("source_tx").alias("tx_hash"))
-    return adds(log).join(gone, ["object_hash", "tx_hash"], "left_anti")
+    """What was added and not deleted: a delete removes the add of the transaction it names, and no other.
+
+    Deletes come to where the log has the transaction they name, so adds are not moved again.
+    """
+    named = deletes(log).select("object_hash", F.col("source_tx").alias("tx_hash")).where("tx_hash is not null").repartition("tx_hash")
+    gone = named.groupBy("tx_hash").agg(F.collect_set("object_hash").alias("gone"))
+    added = F.col("values_added")
+    # array_except gives each object once, in linear time: what a transaction adds twice is looked up instead
+    once = F.size(F.array_distinct(added)) == F.size(added)
+    left = F.when(F.col("gone").isNull(), added).when(once, F.array_except(added, "gone")).otherwise(F.filter(added, lambda x: ~F.array_contains("gone", x)))
+    return log.select("tx_hash", "values_added").join(gone, "tx_hash", "left").select(F.explode(left).alias("object_hash"), "tx_hash")
 
 
 def heads(log: DataFrame) -> DataFrame:
