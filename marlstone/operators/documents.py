@@ -80,20 +80,26 @@ def merges(docs: DataFrame) -> DataFrame:
 def depths(docs: DataFrame) -> DataFrame:
     """doc_hash and depth along first parents, by pointer doubling: rounds grow with the logarithm of the longest chain.
 
+    Hashes are read twice only: versions are numbered, a join turns parents into
+    numbers, and rounds move numbers; the last join brings the hashes back.
     Only versions whose chain is not yet at its end take part in a round; those
     that have arrived are set aside.
     """
-    at = docs.select("doc_hash", F.get("prev_versions.document", F.lit(0)).alias("up"), F.when(F.size("prev_versions") > 0, 1).otherwise(0).cast("long").alias("depth"))
     ensure_checkpoint_dir(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = at.checkpoint()
-    done = at.where("up is null").select("doc_hash", "depth")
+    kept = docs.select("doc_hash", F.get("prev_versions.document", F.lit(0)).alias("above"), F.when(F.size("prev_versions") > 0, 1).otherwise(0).cast("long").alias("depth"))
+    # a checkpoint fixes the numbers, which depend on how rows lie in partitions
+    kept = kept.withColumn("n", F.monotonically_increasing_id()).checkpoint()
+    named = kept.select(F.col("doc_hash").alias("above"), F.col("n").alias("up"))
+    # a parent that is not among docs ends a chain, after the step that leads to it
+    at = kept.where("above is not null").select("n", "above", "depth").join(named, "above", "left").select("n", "up", "depth").checkpoint()
+    done = kept.where("above is null").select("n", "depth").unionByName(at.where("up is null").select("n", "depth"))
     while True:
         way = at.where("up is not null")
         if not way.take(1):
-            return done
-        known = way.unionByName(done.withColumn("up", F.lit(None).cast("string")))
-        above = known.select(F.col("doc_hash").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        at = way.join(above, "up", "left").select("doc_hash", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")).checkpoint()
+            return kept.select("doc_hash", "n").join(done, "n").select("doc_hash", "depth")
+        known = way.unionByName(done.withColumn("up", F.lit(None).cast("long")))
+        above = known.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
+        at = way.join(above, "up", "left").select("n", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")).checkpoint()
         # a union adds up partitions, of which the later rounds' hold little
-        done = done.unionByName(at.where("up is null").select("doc_hash", "depth")).coalesce(parts)
+        done = done.unionByName(at.where("up is null").select("n", "depth")).coalesce(parts)
