@@ -25,3 +25,11 @@ def test_adds_are_moved_once(spark, sf):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert exchanges(df) <= most
         assert "sha2" not in plan[plan.index("Exchange") :]
+
+
+def test_lists_are_made_after_the_shuffle(spark, sf):
+    """Lists made before it get no shorter and spill: nothing is aggregated where the lines are read."""
+    for name in ("txlog_adds", "txlog_deletes", "txlog_build"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        made, read = plan.split("Exchange", 1)
+        assert "collect_list" in made and "Aggregate" not in read
